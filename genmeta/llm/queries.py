@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_dup, pii, token_store, toxicity
+from . import byte_bpe, decontaminate, language, lm_score, near_dup, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,3 +64,10 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_decontamination": op7_decontamination, "op8_near_dup": op8_near_dup}
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op4_lm_score": op4_lm_score}
