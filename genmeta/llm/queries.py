@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, lm_score, near_dup, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, lm_score, near_dup, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -71,3 +71,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_lm_score": op4_lm_score}
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+QUERIES |= {"op10_nearest": op10_nearest}
