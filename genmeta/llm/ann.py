@@ -1,13 +1,13 @@
 """Approximate nearest neighbours: a graph by NN-descent, greedy search over it.
 
 Equal vectors are one node (its smallest vec_id), so copies, however many, neither fill neighbour lists nor a task; answers
-give each node's smallest members. Lists start from the vectors that share a pivot (the nearest of at most PIVOTS sampled
-vectors), in blocks of about BLOCK. A round of NN-descent joins every node with its neighbours and its nearest reverse
+give each node's smallest members. Lists start from the vectors that share a pivot (each vector has the SHARES nearest of at most
+PIVOTS sampled vectors), in blocks of about BLOCK. A round of NN-descent joins every node with its neighbours and its nearest reverse
 neighbours; pairs of which one is new in its list are compared, and a list keeps the K nearest it ever saw. Rounds end when
 few lists change. Lists and vectors are tables in the shared folder; only pivots are shared with tasks.
 
-A query starts from its node's list and, round by round, expands the nearest candidates not yet expanded, until its EF
-nearest all are. Distances of answers are Euclidean, in double precision, on the original vectors.
+A query starts from its node's list and, round by round, expands the nearest candidates not yet expanded, keeping the EF
+nearest; rounds end when all of the RERANK nearest and 49 in 50 of all candidates are expanded. Distances of answers are Euclidean, in double precision, on the original vectors.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or differ in length from the most frequent length
 take no part. Rows with a null vec_id take no part. Ties go to the smaller vec_id. Extra columns are ignored.
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, written
+from .common import drop_table, release, written
 
-K = 14
-REVERSE = 14
-PIVOTS = 2048
+K = 20
+REVERSE = 20
+PIVOTS, SHARES = 4096, 8
 BLOCK = 256
-ROUNDS = 8
-EF, EXPAND = 40, 10
+ROUNDS = 6
+EF, EXPAND = 400, 80
+RERANK = 60
 TOP = 10
 LIST = "id long, nid long, d float"
 
@@ -59,7 +60,7 @@ def near(lists: DataFrame, k: int) -> DataFrame:
 def first_lists(nodes: DataFrame, n: int) -> DataFrame:
     """(id, nid, d): nearest within blocks of vectors that share a pivot."""
     spark = nodes.sparkSession
-    pivots = nodes.select("id", "vec").orderBy(F.xxhash64("id")).limit(min(PIVOTS, max(1, n // 64))).collect()
+    pivots = nodes.select("id", "vec").orderBy(F.xxhash64("id")).limit(min(PIVOTS, max(1, n // 32))).collect()
     shared = spark.sparkContext.broadcast(np.stack([np.frombuffer(r["vec"], np.float16) for r in pivots]).astype(np.float32))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +69,10 @@ def first_lists(nodes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             v = matrix(batch.column("vec"), np.float16).astype(np.float32)
             s = v @ p.T - half
-            two = np.argpartition(-s, min(1, s.shape[1] - 1), axis=1)[:, :2]
-            for j in range(two.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, j].astype(np.int64)), batch.column("id"), batch.column("vec")], ["pivot", "id", "vec"])
+            k = min(SHARES, s.shape[1])
+            close = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            for j in range(k):
+                yield pa.RecordBatch.from_arrays([pa.array(close[:, j].astype(np.int64)), batch.column("id"), batch.column("vec")], ["pivot", "id", "vec"])
 
     placed = written(nodes.select("id", "vec").mapInArrow(assign, "pivot long, id long, vec binary"), "placed")
     sizes = placed.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # at most PIVOTS rows
@@ -100,9 +102,10 @@ def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates (id, nid, d) of one round: pairs among a node's neighbours and reverse neighbours, one of them new."""
     reverse = lists.select(F.col("nid").alias("id"), F.col("id").alias("nid"), "d", "new").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))).filter(F.col("rank") <= REVERSE).drop("rank")
     around = lists.union(reverse).groupBy("id", "nid").agg(F.max("new").alias("new"))
+    around = around.withColumn("any", F.max("new").over(Window.partitionBy("id"))).filter("any").drop("any")
     worst = lists.groupBy("id").agg(F.max("d").alias("d"), F.count("*").alias("n")).select(F.col("id").alias("nid"), F.when(F.col("n") < K, F.lit(float("inf"))).otherwise(F.col("d")).cast("float").alias("worst"))
     vectors = nodes.select(F.col("id").alias("nid"), "vec").join(worst, "nid")
-    groups = around.join(vectors, "nid").groupBy("id").agg(F.collect_list(F.struct("nid", "new", "worst", "vec")).alias("m")).filter(F.exists("m", lambda x: x["new"]))
+    groups = around.join(vectors, "nid").groupBy("id").agg(F.collect_list(F.struct("nid", "new", "worst", "vec")).alias("m"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,41 +135,49 @@ def graph(nodes: DataFrame, n: int) -> DataFrame:
         old = lists.withColumn("new", F.lit(False))
         after = written(near(descend(lists, nodes).withColumn("new", F.lit(True)).union(old), K), "lists")
         drop_table(lists)
+        release(after)
         lists = after
-        if lists.filter("new").count() < 0.02 * n * min(K, n):
+        if lists.filter("new").count() < 0.05 * n * min(K, n):
             break
     return lists
 
 
+def distances(pairs: DataFrame, vectors: DataFrame, origin: DataFrame, kind) -> DataFrame:
+    """(q, id, d): Euclidean distances, in double precision, of pairs (q, id), given (id, vec) and (q, qv)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                diff = matrix(batch.column("vec"), kind).astype(np.float64) - matrix(batch.column("qv"), kind).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), pa.array(np.sqrt((diff * diff).sum(1)))], ["q", "id", "d"])
+
+    return pairs.join(vectors, "id").join(origin, "q").select("q", "id", "vec", "qv").mapInArrow(run, "q long, id long, d double")
+
+
 def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, id, d): for each query node (q) its EF nearest nodes found, itself among them; d is the Euclidean distance."""
+    """(q, id): for each query node (q) its EF nearest nodes found by 16-bit vectors, itself among them, with their rank."""
     links = written(lists.select("id", "nid").union(lists.select(F.col("nid").alias("id"), F.col("id").alias("nid")).join(lists.select("id", "nid"), ["id", "nid"], "left_anti")), "links")
-    origin = nodes.select(F.col("id").alias("q"), F.col("orig").alias("qv")).join(queries, "q")
+    origin = nodes.select(F.col("id").alias("q"), F.col("vec").alias("qv")).join(queries, "q")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    diff = matrix(batch.column("orig"), np.float64) - matrix(batch.column("qv"), np.float64)
-                    yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), pa.array(np.sqrt((diff * diff).sum(1)))], ["q", "id", "d"])
-
-        return pairs.join(nodes.select("id", "orig"), "id").join(origin, "q").select("q", "id", "orig", "qv").mapInArrow(run, "q long, id long, d double")
+        return distances(pairs, nodes.select("id", "vec"), origin, np.float16)
 
-    start = queries.select("q", F.col("q").alias("id"))
-    found = written(measured(start).withColumn("open", F.lit(True)), "found")
+    by_query = Window.partitionBy("q")
+    start = measured(queries.select("q", F.col("q").alias("id"))).select("q", "id", "d", F.lit(True).alias("open"), F.lit(1).alias("rank"))
+    state = written(start, "state")
     while True:
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-        ranked = found.withColumn("rank", rank)
-        nearest = ranked.filter(F.col("rank") <= EF)
-        chosen = nearest.filter("open").withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).filter(F.col("turn") <= EXPAND).select("q", "id")
-        chosen = written(chosen, "chosen")
-        if chosen.isEmpty():
-            return nearest.select("q", "id", "d")
-        fresh = chosen.join(links, "id").select("q", F.col("nid").alias("id")).distinct().join(found.select("q", "id"), ["q", "id"], "left_anti")
-        kept = found.join(chosen.withColumn("shut", F.lit(True)), ["q", "id"], "left").select("q", "id", "d", (F.col("open") & F.col("shut").isNull()).alias("open"))
-        after = written(kept.union(measured(fresh).withColumn("open", F.lit(True))), "found")
-        drop_table(found)
-        found = after
+        left = state.agg(F.count_if("open").alias("open"), F.count_if(F.col("open") & (F.col("rank") <= RERANK)).alias("near"), F.count("*").alias("n")).first()
+        if not left["near"] and left["open"] <= left["n"] // 50:
+            return state.select("q", "id", "rank")
+        turned = state.withColumn("turn", F.when(F.col("open"), F.row_number().over(by_query.orderBy(F.desc("open"), "d", "id"))))
+        chosen = turned.filter(F.col("turn") <= EXPAND).select("q", "id")
+        fresh = chosen.join(links, "id").select("q", F.col("nid").alias("id")).distinct().join(state.select("q", "id"), ["q", "id"], "left_anti")
+        kept = turned.select("q", "id", "d", (F.col("open") & (F.col("turn") > EXPAND)).alias("open"))
+        ranked = kept.union(measured(fresh).withColumn("open", F.lit(True))).withColumn("rank", F.row_number().over(by_query.orderBy("d", "id")))
+        after = written(ranked.filter(F.col("rank") <= EF), "state")
+        drop_table(state)
+        release(after)
+        state = after
 
 
 def valid(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -191,6 +202,9 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str
     if lists is None:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     found = search(nodes, lists, asked.select(F.col("id").alias("q")).distinct())
+    close = found.filter(F.col("rank") <= RERANK).select("q", "id")
+    original = nodes.select("id", F.col("orig").alias("vec"))
+    found = distances(close, original, original.select(F.col("id").alias("q"), F.col("vec").alias("qv")).join(found.select("q").distinct(), "q"), np.float64)
     by_id = Window.partitionBy("id").orderBy("vec_id")
     members = owner.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= top + 1).select("id", "vec_id")
     by_query = Window.partitionBy("q").orderBy("d", "vec_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files of finished rounds now: it does so when their plans are collected as garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered; call trim() between batches so that it stays bounded."""
 
