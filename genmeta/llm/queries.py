@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, lm_score, near_dup, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, near_dup, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +78,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_nearest": op10_nearest}
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
+QUERIES |= {"op2_license_scan": op2_license_scan}
