@@ -41,9 +41,9 @@ def words_of(text: str) -> list[str]:
 
 
 class OrderMinHash:
-    def __init__(self, bands: int = BANDS + MORE_BANDS, samples: int = SAMPLES, k: int = K):
+    def __init__(self, bands: int = BANDS, samples: int = SAMPLES, k: int = K, seed: int = SEED):
         self.bands, self.samples, self.k = bands, samples, k
-        rng = np.random.default_rng(SEED)
+        rng = np.random.default_rng(seed)
         n = bands * samples
         self.flip = rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
         self.times = (rng.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1))[:, None]
@@ -115,26 +115,23 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def _in_band(a: np.ndarray, b: np.ndarray, w: int) -> int:
-    """Distance along alignments that stay within w diagonals; more than w if it isn't proven."""
+    """Distance along alignments that stay within w diagonals; more than w if it isn't proven.
+
+    A row of the table is kept less its place, so that a run of insertions is a running minimum. Columns before the first
+    start far away and stay so; columns past the last never reach back.
+    """
     size = 2 * w + 1
-    far = len(a) + len(b) + size
-    step = np.arange(size)
+    far = 4 * (len(a) + len(b) + size)
     column = np.concatenate([np.full(w, -1, np.int64), b, np.full(w + len(a), -1, np.int64)])
-    row = np.where(step >= w, step - w, far)  # row 0: column j at place j + w
-    row[np.where(step - w > len(b))] = far
-    for i in range(1, len(a) + 1):
-        j = step + (i - w)  # the column at each place
-        cost = row + (column[i - 1 : i - 1 + size] != a[i - 1])
-        cost[:-1] = np.minimum(cost[:-1], row[1:] + 1)
-        cost[(j < 0) | (j > len(b))] = far
-        if i <= w:
-            cost[w - i] = i
-        row = np.minimum.accumulate(cost - step) + step
-        row[(j < 0) | (j > len(b))] = far
-        if i % 16 == 0 and row.min() > w:
+    row = np.concatenate([np.full(w, far), np.full(w + 1, -w)])
+    for i in range(len(a)):
+        cost = row + (column[i : i + size] != a[i])
+        np.minimum(cost[:-1], row[1:] + 2, out=cost[:-1])
+        row = np.minimum.accumulate(cost)
+        if i % 32 == 31 and (row + np.arange(size)).min() > w:
             return w + 1
     place = len(b) - len(a) + w
-    return int(row[place]) if 0 <= place < size else w + 1
+    return int(row[place]) + place if 0 <= place < size else w + 1
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -174,6 +171,18 @@ def word_arrays(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, words array<long>")
 
 
+def further_bands(words: DataFrame) -> DataFrame:
+    """(h, more): keys of MORE_BANDS bands of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = OrderMinHash(MORE_BANDS, seed=SEED + 1)
+        for batch in text_rows(batches):
+            more = [sketch.of(np.asarray(x.values).view(np.uint64)).view(np.int64) for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(more, pa.list_(pa.int64()))], ["h", "more"])
+
+    return words.mapInArrow(run, "h long, more array<long>")
+
+
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Those (a, b) whose alignment shows SIMILARITY; b is fetched first, a may be one text in very many pairs."""
 
@@ -198,7 +207,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     sketched = written(sketches(rows), "sketches")
     texts = sketched.filter("h IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"))
-    band_rows = written(texts.select("h", F.explode(F.slice("bands", 1, BANDS)).alias("key")), "bands")
+    band_rows = written(texts.select("h", F.explode("bands").alias("key")), "bands")
     shared = band_rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key", "least")
     members = written(band_rows.join(shared, "key"), "members")  # (key, h, least) of buckets with two texts or more
     drop_table(band_rows)
@@ -220,8 +229,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     placed = relabelled(members.select("key", "h"), labels, "h", "c")
     mixed_keys = placed.groupBy("key", "c").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n")).filter("n > 1")
     rest = written(placed.join(mixed_keys, "key"), "rest")
-    more = texts.select("h", F.slice("bands", BANDS + 1, MORE_BANDS).alias("more"))
-    large = rest.filter(F.col("n") > SMALL).join(more, "h").select(F.xxhash64("key", F.explode("more").alias("m")).alias("key"), "h", "c") if not rest.filter(F.col("n") > SMALL).isEmpty() else None
+    crowded = rest.filter(F.col("n") > SMALL)
+    large = None
+    if not crowded.isEmpty():
+        more = further_bands(words.join(crowded.select("h").distinct(), "h"))
+        large = crowded.join(more, "h").select("key", "h", "c", F.explode("more").alias("m")).select(F.xxhash64("key", "m").alias("key"), "h", "c")
     small = rest.filter(F.col("n") <= SMALL).select("key", "h", "c")
     left = small if large is None else small.union(large)
     pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
