@@ -8,8 +8,9 @@ candidates. Repetitions are independent walks and places. Candidates are verifie
 window is a passage of the item if at most a fifth of the item's words differ.
 
 Lossless skip: if at most k = n // 5 words of an n-word item differ, one of k + 1 parts of it is untouched, so the window
-holds a run of n // (k + 1) words of the item in its place, give or take k words. Windows without such a run are not embedded.
-A window is anchored at each such run, so it starts where the item's start would be.
+holds a run of q = n // (k + 1) words of the item in its place, give or take k words; an edit spoils at most q of an item's
+runs of q words, so n - q + 1 - k q of them occur in the text. Windows without such runs are not embedded. A window is
+anchored at each such run, so it starts where the item's start would be.
 
 The benchmark is broadcast only if it has at most MOST_ITEM_BYTES; a larger one is dealt in slices, each within the bound.
 Nulls: a null text is empty, rows or items without words or with a null item id give no finding. Extra columns are ignored.
@@ -28,7 +29,7 @@ from .common import WordHashes, combined, mixed, text_rows, whole_text
 from .near_dup import edit_distance
 
 SHARE = 0.2
-REPETITIONS, PLACES = 16, 3
+REPETITIONS, PLACES = 16, 2
 MOST_ITEM_BYTES = 32 << 20
 BATCH = 4096
 
@@ -69,51 +70,65 @@ class Benchmark:
         parts = [np.concatenate(x) if runs else np.zeros(0, np.int64) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         order = np.argsort(parts[0], kind="stable")
         self.run_hash, self.run_item, self.run_at = (p[order] for p in parts)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.run_hash >> np.uint64(44)] = True
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
+        self.least = np.maximum(1, self.lengths - self.run + 1 - self.run * np.floor(SHARE * self.lengths + 1e-9).astype(np.int64))
         self.places = np.random.default_rng(3).random((repetitions, places))
-        self.keys = [self.embedded(w[None, :], np.array([len(w)]), len(w))[0] for _, w in self.items]
+        longest = int(self.lengths.max(initial=1))
+        own = np.zeros((len(self.items), longest), np.uint64)
+        for k, (_, w) in enumerate(self.items):
+            own[k, : len(w)] = w
+        self.keys = self.embedded(own, self.lengths, self.lengths)
 
     def runs(self, w: np.ndarray) -> np.ndarray:
         n = len(w) - self.run + 1
         return combined([w[i : i + n] for i in range(self.run)]) if n > 0 else np.zeros(0, np.uint64)
 
-    def embedded(self, windows: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-        """(rows, repetitions) bucket keys of windows for an item of n words."""
-        keys = np.empty((len(windows), self.repetitions), np.uint64)
+    def embedded(self, windows: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(rows, repetitions) bucket keys of windows of the given sizes, each for an item of n words."""
+        keys, rows = np.empty((len(windows), self.repetitions), np.uint64), np.arange(len(windows))
         for r in range(self.repetitions):
-            walk = cgk(windows, lengths, 2 * n, r)
-            keys[:, r] = combined([walk[:, int(p * 2 * n)] for p in self.places[r]])
+            walk = cgk(windows, sizes, 2 * windows.shape[1], r)
+            keys[:, r] = combined([walk[rows, (p * 2 * n).astype(np.int64)] for p in self.places[r]])
         return keys
 
-    def findings(self, w: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, distance) of the best window of each item that the text w holds."""
+    def starts(self, w: np.ndarray) -> np.ndarray:
+        """(item, start) of the windows of the text w that may hold an item, as two rows."""
         runs = self.runs(w)
-        lo, hi = np.searchsorted(self.run_hash, runs, "left"), np.searchsorted(self.run_hash, runs, "right")
-        hit = np.flatnonzero(hi > lo)
+        hit = np.flatnonzero(self.seen[runs >> np.uint64(44)])
+        lo, hi = np.searchsorted(self.run_hash, runs[hit], "left"), np.searchsorted(self.run_hash, runs[hit], "right")
+        hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
         if not len(hit):
-            return []
-        counts = hi[hit] - lo[hit]
-        which = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        item, start = self.run_item[which], np.repeat(hit, counts) - self.run_at[which]
-        n = self.lengths[item]
-        slack = np.floor(SHARE * n + 1e-9).astype(np.int64)
-        start = np.maximum(start, 0)
-        fits = start + n - slack <= len(w)
-        order = np.unique(np.stack([item[fits], start[fits]]), axis=1)
-        best: dict[int, tuple[int, int]] = {}
-        for k in np.unique(order[0]):
-            starts = order[1][order[0] == k]
-            own, n = self.items[k][1], int(self.lengths[k])
-            for at in range(0, len(starts), BATCH):
-                s = starts[at : at + BATCH]
-                sizes = np.minimum(n, len(w) - s)
-                windows = w[np.minimum(s[:, None] + np.arange(n), len(w) - 1)]
-                agree = (self.embedded(windows, sizes, n) == self.keys[k]).any(1)
-                for i in np.flatnonzero(agree):
-                    d = self.distance(w, int(s[i]), own)
-                    if d <= allowed(n) and (k not in best or (d, int(s[i])) < best[k]):
-                        best[k] = (d, int(s[i]))
-        return [(self.items[k][0], s, d) for k, (d, s) in sorted(best.items())]
+            return np.zeros((2, 0), np.int64)
+        counts = hi - lo
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        # how many places of each item occur in the text
+        places = np.bincount(self.run_item[np.unique(which)], minlength=len(self.items))
+        item, start = self.run_item[which], np.maximum(np.repeat(hit, counts) - self.run_at[which], 0)
+        slack = np.floor(SHARE * self.lengths[item] + 1e-9).astype(np.int64)
+        fits = (places[item] >= self.least[item]) & (start + self.lengths[item] - slack <= len(w))
+        return np.unique(np.stack([item[fits], start[fits]]), axis=1)
+
+    def findings(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """For each text (item, first word, distance) of the best window of each item that it holds."""
+        found = [self.starts(w) for w in texts]
+        doc = np.repeat(np.arange(len(texts)), [f.shape[1] for f in found])
+        item, start = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        for at in range(0, len(doc), BATCH):
+            d, k, s = (x[at : at + BATCH] for x in (doc, item, start))
+            n = self.lengths[k]
+            sizes = np.minimum(n, np.array([len(texts[i]) for i in d]) - s)
+            windows = np.zeros((len(d), int(n.max())), np.uint64)
+            for row, (i, b, size) in enumerate(zip(d, s, sizes, strict=True)):
+                windows[row, :size] = texts[i][b : b + size]
+            agree = (self.embedded(windows, sizes, n) == self.keys[k]).any(1)
+            for i, j, b in zip(d[agree], k[agree], s[agree], strict=True):
+                distance = self.distance(texts[i], int(b), self.items[j][1])
+                if distance <= allowed(int(self.lengths[j])) and (j not in best[i] or (distance, int(b)) < best[i][j]):
+                    best[i][j] = (distance, int(b))
+        return [[(self.items[k][0], b, d) for k, (d, b) in sorted(x.items())] for x in best]
 
     @staticmethod
     def distance(w: np.ndarray, start: int, own: np.ndarray) -> int:
@@ -150,7 +165,8 @@ def findings(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             sizes = dict(zip((i for i, _ in bench.items), bench.lengths.tolist(), strict=True))
             for batch in text_rows(batches):
                 words.trim()
-                got = [(d, *f, sizes[f[0]]) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for f in bench.findings(words.of(words_of(t)))]
+                found = bench.findings([words.of(words_of(t)) for t in batch.column("text").to_pylist()])
+                got = [(d, *f, sizes[f[0]]) for d, fs in zip(batch.column("doc_id").to_pylist(), found, strict=True) for f in fs]
                 columns = list(zip(*got, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "first_word", "distance", "item_words"])
 

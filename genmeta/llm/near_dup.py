@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, combined, drop_table, mixed, shingles, text_rows, whole_text, written
-from .graph import components
+from .graph import components, extended
 
 K = 5
 SIMILARITY = 0.8
@@ -222,8 +222,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     labels = components(links)
     apart = relabelled(relabelled(leaders, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b")
     first = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(links.union(verified(apart.join(first, ["a", "b"], "left_anti"), words)), "links")
-    labels = components(links)
+    second = written(verified(apart.join(first, ["a", "b"], "left_anti"), words), "links")
+    labels = extended(labels, second)
 
     # then what is still apart within a bucket
     placed = relabelled(members.select("key", "h"), labels, "h", "c")
@@ -238,8 +238,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     left = small if large is None else small.union(large)
     pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
     pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(leaders, ["a", "b"], "left_anti")
-    links = written(links.union(verified(pairs, words)), "links")
-    labels = components(links)
+    third = written(verified(pairs, words), "links")
+    labels = extended(labels, third)
+    links = links.union(second).union(third)
     for table in (members, leaders, words, rest):
         drop_table(table)
 
