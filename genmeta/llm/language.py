@@ -53,13 +53,14 @@ class LanguageModel:
         self.langs, self.idf, self.weights, self.temperature = langs, idf, weights, temperature
 
     @staticmethod
-    def features(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index = np.flatnonzero(tf)
-        value = (1 + np.log(tf[index])) * idf[index]
+    def features(index: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = (1 + np.log(tf)) * idf[index]
         return index, (value / max(np.sqrt(value @ value), 1e-12)).astype(np.float32)
 
     def probabilities(self, text: str) -> np.ndarray:
-        index, value = self.features(counts(text), self.idf)
+        tf = counts(text)
+        index = np.flatnonzero(tf)
+        index, value = self.features(index, tf[index], self.idf)
         z = (value @ self.weights[index]) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
@@ -76,9 +77,15 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 3, alpha: float =
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros(FEATURES, np.float32), np.zeros((FEATURES, 0), np.float32), 1.0)
-    tf = [counts(t) for t in texts]
-    idf = (np.log((1 + len(tf)) / (1 + sum((x > 0).astype(np.int64) for x in tf))) + 1).astype(np.float32)
-    rows = [LanguageModel.features(x, idf) for x in tf]
+    sparse, seen = [], np.zeros(FEATURES, np.int64)
+    for text in texts:
+        tf = counts(text)
+        index = np.flatnonzero(tf)
+        sparse.append((index.astype(np.int32), tf[index].astype(np.int32)))
+        seen[index] += 1
+    idf = (np.log((1 + len(texts)) / (1 + seen)) + 1).astype(np.float32)
+    rows = [LanguageModel.features(index, tf, idf) for index, tf in sparse]
+    del sparse
     y = np.array([names.index(x) for x in langs])
     apart = np.arange(len(y)) % 8 == 0 if len(y) >= 40 else np.zeros(len(y), bool)
     z, n = np.zeros((FEATURES, len(names))), np.zeros((FEATURES, len(names)))
