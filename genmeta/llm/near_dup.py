@@ -6,8 +6,8 @@ permutation, in text order, so it agrees for two texts only if they share both k
 band. At a k-mer similarity of 0.8 a pair agrees in at least one of 20 bands with probability 1 - 3e-5. Candidates are
 verified by banded alignment of the words: a link needs an edit similarity of 0.8 or more (1 - distance / longer length).
 
-Hot groups. Copies meet in partial aggregates. In a bucket members are first compared with its smallest member only, so a
-group of n near copies needs about n alignments; then what is still apart is compared again: in buckets of up to SMALL
+Hot groups. Copies meet in partial aggregates. In a bucket members are first compared with its smallest member only, then one
+pair of each two components, so a group of n near copies needs about n alignments; then what is still apart is compared again: in buckets of up to SMALL
 components every pair from different components, in larger ones those that also agree in one of 20 further bands. No pair
 of one component is compared, no bucket is cut.
 
@@ -220,10 +220,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     leaders = written(leaders, "leaders")
     links = written(verified(leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), words), "links")
     labels = components(links)
-    apart = relabelled(relabelled(leaders, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b")
-    first = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    second = written(verified(apart.join(first, ["a", "b"], "left_anti"), words), "links")
-    labels = extended(labels, second)
+    tested = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    for one_each in (True, True, False):
+        # one pair of each two components at first, since one link joins all of both; then every pair still apart
+        apart = relabelled(relabelled(leaders, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").join(tested, ["a", "b"], "left_anti")
+        if one_each:
+            apart = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        asked = written(apart.select("a", "b"), "asked")
+        if asked.isEmpty():
+            break
+        more_links = written(verified(asked, words), "links")
+        labels, tested, links = extended(labels, more_links), tested.union(asked), links.union(more_links)
 
     # then what is still apart within a bucket
     placed = relabelled(members.select("key", "h"), labels, "h", "c")
@@ -240,7 +247,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(leaders, ["a", "b"], "left_anti")
     third = written(verified(pairs, words), "links")
     labels = extended(labels, third)
-    links = links.union(second).union(third)
+    links = links.union(third)
     for table in (members, leaders, words, rest):
         drop_table(table)
 
