@@ -16,10 +16,12 @@ doc_id are kept, ordered by a hash of their text. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +94,13 @@ class WordTokens(dict):
     """Ids of each blank-separated word by a tokenizer of the word-BPE kind, whose ids never depend on neighbouring words.
 
     New words of a batch are cut into the pieces that the tokenizer merges within, and new pieces are encoded many at a time;
-    the ids that close a piece tell the pieces apart. Words where that cut is not certain are encoded on their own.
+    the ids that close a piece tell the pieces apart. Words where that cut is not certain are encoded on their own. Ids are
+    kept as the bytes of 32-bit numbers, so that those of a text are one join.
     """
 
     LIMIT, AT_ONCE = 1 << 20, 400
     PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    ASCII_PIECE = re.compile(r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
     ODD = regex.compile(r"['İ\s]|<\|")
 
     def __init__(self, path: str):
@@ -106,39 +110,40 @@ class WordTokens(dict):
         closing = [i for s, i in self.tokenizer.get_vocab().items() if s.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[closing] = True
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(self, words: Iterable[str]) -> None:
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def learn(self, words: set[str]) -> None:
         if len(self) > self.LIMIT:
             self.clear()
             self.pieces.clear()
         cut = {}
-        for w in words:
-            if w not in self:
-                if self.ODD.search(w) or not unicodedata.is_normalized("NFC", w):
-                    self[w] = self.tokenizer.encode(w, add_special_tokens=False).ids
-                else:
-                    cut[w] = self.PIECE.findall(w)
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
+        for w in words.difference(self):
+            if w.isascii() and w.isalpha():
+                cut[w] = [w]
+            elif self.ODD.search(w) or not (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                self[w] = self.alone(w)
+            else:
+                cut[w] = (self.ASCII_PIECE if w.isascii() else self.PIECE).findall(w)
+        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
         groups = [new[i : i + self.AT_ONCE] for i in range(0, len(new), self.AT_ONCE)]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, np.int64)
-            ends = np.flatnonzero(self.closes[ids]) + 1
+            ids = np.array(encoded.ids, np.uint32)
+            ends, raw = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist(), ids.tobytes()
             if len(ends) == len(group):
-                self.pieces.update(zip(group, (x.tolist() for x in np.split(ids, ends[:-1])), strict=True))
+                self.pieces.update(zip(group, (raw[a:b] for a, b in pairwise([0, *ends])), strict=True))
             else:
-                self.pieces.update((p, self.tokenizer.encode(p, add_special_tokens=False).ids) for p in group)
+                self.pieces.update((p, self.alone(p)) for p in group)
         for w, pieces in cut.items():
-            self[w] = self.pieces[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.pieces[p]]
+            self[w] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
-    def of(self, texts: list[str]) -> Iterator[list[int]]:
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         self.learn(set().union(*split))
         for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += self[w]
-            yield ids
+            yield np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32)
 
 
 _known: dict[str, WordTokens] = {}
@@ -170,6 +175,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
         from pyspark import TaskContext
 
         tokens, shard = word_tokens(tokenizer_path), TaskContext.get().partitionId()
+        end = np.array([end_id], np.uint32)
         ids, doc_ids, sizes, first, segment, held = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -180,11 +186,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
 
         for batch in batches:
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), tokens.of(batch.column("text").to_pylist()), strict=True):
-                own.append(end_id)
-                ids.append(np.array(own, np.uint32))
+                ids += [own, end]
                 doc_ids.append(doc_id)
-                sizes.append(len(own))
-                held += len(own)
+                sizes.append(len(own) + 1)
+                held += len(own) + 1
                 if held >= SEGMENT_TOKENS:
                     yield flush()
                     ids, doc_ids, sizes, first, segment, held = [], [], [], first + held, segment + 1, 0
