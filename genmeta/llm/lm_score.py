@@ -157,13 +157,9 @@ class LogBilinear:
             false = -weight[:, None] * sigmoid(h @ self.target[noise].T + self.bias[noise] - log_noise[noise])
             dh = true[:, None] * t + false @ self.target[noise]
             scale = np.float32(1 / len(code))
-            d_target, d_bias, d_context = np.zeros_like(self.target), np.zeros_like(self.bias), np.zeros_like(self.context)
-            np.add.at(d_target, word, true[:, None] * h)
-            np.add.at(d_target, noise, false.T @ h)
-            np.add.at(d_bias, word, true)
-            np.add.at(d_bias, noise, false.sum(0))
-            np.add.at(d_context, one, dh * self.place[0])
-            np.add.at(d_context, two, dh * self.place[1])
+            d_target = summed(np.concatenate([word, noise]), np.concatenate([true[:, None] * h, false.T @ h]))
+            d_bias = np.bincount(np.concatenate([word, noise]), np.concatenate([true, false.sum(0)]), CLASSES).astype(np.float32)
+            d_context = summed(np.concatenate([one, two]), np.concatenate([dh * self.place[0], dh * self.place[1]]))
             d_place = np.stack([(dh * h1).sum(0), (dh * h2).sum(0)])
             for value, p, g in zip((self.context, self.target, self.place, self.bias), past, (d_context, d_target, d_place, d_bias), strict=True):
                 g *= scale * 64
@@ -178,6 +174,12 @@ class LogBilinear:
         return top + np.log(np.exp(s - top[:, None]).sum(1))
 
 
+def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """classes x dim: the sum of the rows at each class."""
+    cells = (at[:, None] * DIM + np.arange(DIM)).ravel()
+    return np.bincount(cells, rows.ravel(), CLASSES * DIM).astype(np.float32).reshape(-1, DIM)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
