@@ -265,13 +265,13 @@ def generator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_info(spark, sf_dir).groupBy("generator").agg(F.count("*").alias("files"))
 
 
-MERGE_SQL = f"""WITH g AS (SELECT o.* FROM orders o WHERE o_orderkey % 5 = 0) SELECT o_orderkey * 10 + 2 AS file_id, 'ComfyUI' AS generator, 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END AS prompt,
+MERGE_SQL = f"""WITH g AS (SELECT o.* FROM orders o WHERE o_orderkey % 5 = 0) SELECT o_orderkey * 10 + 2 AS file_id, 'ComfyUI' AS generator, CASE WHEN o_orderkey % 20 = 0 THEN 'from a block' ELSE 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END END AS prompt,
  'low ' || o_orderpriority AS negative_prompt, o_orderkey * 31 AS seed, 'euler' AS sampler, '512x768' AS size, CASE WHEN o_orderkey % 10 = 0 THEN 'v' || (o_orderkey % 3) END AS vae, '2:3' AS aspect_ratio, 0.39::DOUBLE AS megapixels FROM g"""
 
 
 @register(MERGE_SQL)
 def merged_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph records whose gaps a parameter block fills; what the graph says stays."""
+    """Graph records whose gaps a parameter block fills; what the graph says stays, but for prompts with run-time markers."""
     return image_info(spark, sf_dir).filter("decoder_rank = 1").select("file_id", "generator", "prompt", "negative_prompt", "seed", "sampler", "size", "vae", "aspect_ratio", "megapixels")
 
 

@@ -64,6 +64,22 @@ def test_block_without_settings_line(spark):
     assert (rows["prompt"], rows["steps"], rows["seed"]) == ("a cat", 5, 3)
 
 
+@pytest.mark.parametrize(
+    "line,model,lora",
+    [
+        ('Civitai resources: [{"type":"lora","modelName":"l"},{"type":"checkpoint","modelName":"base"}]', "base", None),
+        ('Model: own, Civitai resources: [{"type":"checkpoint","modelName":"base"}]', "own", None),
+        ('Civitai resources: [{"type":"checkpoint"},{"type":"checkpoint","modelName":"late"}]', None, None),
+        ('Civitai resources: broken, Hashes: {"LORA:b": "1", "model": "2", "LORA:a": "3"}', None, "a, b"),
+        ('Lora hashes: "x: 12", Hashes: {"LORA:b": "1"}', None, "x"),
+        ('Hashes: {"LORA:b": {}}', None, None),
+    ],
+)
+def test_resources_and_hashes(spark, line, model, lora):
+    rows = blocks.records(spark.createDataFrame([(1, "parameters", f"a cat\nSteps: 5, Sampler: Euler, Seed: 3, {line}")], "file_id int, chunk_key string, text string")).first()
+    assert (rows["model"], rows["lora"], rows["steps"], rows["seed"]) == (model, lora, 5, 3)
+
+
 def test_closure_with_cycle(spark):
     links = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (2, "a", "a")], "file_id int, dst string, src string")
     got = graph.closure(links, spark.createDataFrame([(1, "a"), (2, "a")], "file_id int, node string")).collect()
