@@ -9,7 +9,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from genmeta.llm import ann, byte_bpe, decontaminate, language, license_scan, lm_score, near_dup, pii, queries, token_store, toxicity
+from pyspark.sql import functions as F
+
+from genmeta.llm import graph, ann, byte_bpe, decontaminate, language, license_scan, lm_score, near_dup, pii, queries, token_store, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, spans string"
@@ -202,3 +204,42 @@ def test_nearest(spark):
         assert [r[0] for r in own] == list(range(1, 11))
         hits += len({r[1] for r in own} & set(best.tolist()))
     assert hits >= 57 and len(got) == 60
+
+
+def test_components_and_crowded_pairs(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 130)]
+    least = {v: v for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {v for a, b in edges if a != b for v in (a, b)}
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["v"], r["c"]) for r in found) == sorted((v, least[v]) for v in linked)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(14):
+        words = list(base)
+        for at in range(0, 3 * (i % 7), 3):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"other{i}-{j}" for j in range(60)) for i in range(3)]
+    words = near_dup.word_arrays(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["h"])
+    rows = words.collect()
+    both = words.select("h", "size", "bag")
+    may = {(r["a"], r["b"]) for r in both.alias("x").join(both.alias("y"), near_dup.can_be_similar("x", "y")).selectExpr("x.h AS a", "y.h AS b").collect()}
+    arrays = {r["h"]: np.array(r["words"]) for r in rows}
+    grams = {h: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for h, w in arrays.items()}
+    asked = words.select("h", "size", "bag").join(near_dup.further_bands(words), "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
+    component = {r["h"]: r["c"] for r in asked.select("h", "c").collect()}
+    got = {(r["a"], r["b"]) for r in near_dup.crowded_pairs(asked).collect()}
+    for a in arrays:
+        for b in arrays:
+            if near_dup.similar(arrays[a], arrays[b]):
+                assert (a, b) in may
+            if a < b and component[a] != component[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                assert (a, b) in got
+            if a < b and component[a] == component[b]:
+                assert (a, b) not in got
