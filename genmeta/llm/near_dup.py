@@ -7,10 +7,9 @@ band. At a k-mer similarity of 0.8 a pair agrees in at least one of 20 bands wit
 verified by banded alignment of the words: a link needs an edit similarity of 0.8 or more (1 - distance / longer length).
 
 Hot groups. Copies meet in partial aggregates. In a bucket members are first compared with its smallest member only, then one
-pair of each two components, so a group of n near copies needs about n alignments; then what is still apart is compared again: in buckets of up to SMALL
-components every pair from different components, in larger ones those that also agree in 4 of 40 further bands (at a k-mer
-similarity of 0.8 a pair does with probability 1 - 3e-6). Pairs whose word counts alone prove a larger distance are left out
-before their words are fetched. No pair of one component is compared, no bucket is cut.
+pair of each two components, so a group of n near copies needs about n alignments; then every pair of different components
+that shares a bucket, whatever its size, again one pair of each two components first. Pairs whose word counts alone prove a
+larger distance are left out before their words are fetched. No pair of one component is compared, no bucket is cut.
 
 Nulls: a null text is empty; a text without words is a class of its own, one for each row. A null id gives a null class.
 Rows that share an id stay rows. Extra columns are ignored.
@@ -31,8 +30,7 @@ from .graph import components, extended
 
 K = 5
 SIMILARITY = 0.8
-BANDS, MORE_BANDS, AGREE, SAMPLES = 20, 40, 4, 2
-SMALL = 8
+BANDS, SAMPLES = 20, 2
 BAG = 256
 SEED = 0x5EED
 BLOCK = 2048
@@ -189,19 +187,19 @@ def can_be_similar(x: str, y: str) -> F.Column:
 
 
 def further_bands(words: DataFrame) -> DataFrame:
-    """(h, more): keys of MORE_BANDS bands of their own."""
+    """(h, more): the band keys of sketches() again, from the words: only few texts need them as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = OrderMinHash(MORE_BANDS, seed=SEED + 1)
+        sketch = OrderMinHash()
         for batch in text_rows(batches):
-            more = [(sketch.of(np.asarray(x.values).view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column("words")]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(more, pa.list_(pa.int32()))], ["h", "more"])
+            more = [sketch.of(np.asarray(x.values).view(np.uint64)).view(np.int64) for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(more, pa.list_(pa.int64()))], ["h", "more"])
 
-    return words.select("h", "words").mapInArrow(run, "h long, more array<int>")
+    return words.select("h", "words").mapInArrow(run, "h long, more array<long>")
 
 
 def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b) of texts (h, c, size, bag, more) from different components that agree in AGREE further bands or more.
+    """(a, b) of texts (h, c, size, bag, more) from different components that agree in any band.
 
     A pair comes from the first band in which it agrees only. In a bucket, members of its largest component meet only those
     of other components, so one large component costs no comparisons within itself.
@@ -213,7 +211,7 @@ def crowded_pairs(texts: DataFrame) -> DataFrame:
     agree = F.zip_with("x.more", "y.more", lambda p, q: p == q)
     once = (F.col("y.c") == F.col("y.top")) | (F.col("x.h") < F.col("y.h"))
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.c") != F.col("y.c")) & once
-    met &= (F.array_position(agree, F.lit(True)) == F.col("x.band") + 1) & (F.size(F.filter(agree, lambda e: e)) >= AGREE)
+    met &= F.array_position(agree, F.lit(True)) == F.col("x.band") + 1
     return x.join(y, met & can_be_similar("x", "y")).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
@@ -236,6 +234,20 @@ def relabelled(members: DataFrame, labels: DataFrame, col: str, name: str) -> Da
     return members.join(labels.select(F.col("v").alias(col), F.col("c").alias("found")), col, "left").withColumn(name, F.coalesce("found", col)).drop("found")
 
 
+def settled(pairs: DataFrame, tested: DataFrame, words: DataFrame, labels: DataFrame, links: DataFrame, rounds: tuple[bool, ...]) -> tuple[DataFrame, DataFrame]:
+    """labels and links after verifying pairs (a, b) not yet tested: in rounds of True one pair of each two components, since one link joins all of both; in those of False every pair still apart."""
+    for one_each in rounds:
+        apart = relabelled(relabelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").join(tested, ["a", "b"], "left_anti")
+        if one_each:
+            apart = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        asked = written(apart.select("a", "b"), "asked")
+        if asked.isEmpty():
+            break
+        more_links = written(verified(asked, words), "links")
+        labels, tested, links = extended(labels, more_links), tested.union(asked), links.union(more_links)
+    return labels, links
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every row: class_id is the smallest doc_id among all that links connect; n_links counts the linked different texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -255,33 +267,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     links = written(verified(leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), words), "links")
     labels = components(links)
     tested = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    for one_each in (True, True, False):
-        # one pair of each two components at first, since one link joins all of both; then every pair still apart
-        apart = relabelled(relabelled(leaders, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").join(tested, ["a", "b"], "left_anti")
-        if one_each:
-            apart = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-        asked = written(apart.select("a", "b"), "asked")
-        if asked.isEmpty():
-            break
-        more_links = written(verified(asked, words), "links")
-        labels, tested, links = extended(labels, more_links), tested.union(asked), links.union(more_links)
+    labels, links = settled(leaders, tested, words, labels, links, (True, True, False))
 
     # then what is still apart within a bucket
     placed = relabelled(members.select("key", "h"), labels, "h", "c")
     mixed_keys = placed.groupBy("key", "c").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n")).filter("n > 1")
-    rest = written(placed.join(mixed_keys, "key"), "rest")
+    rest = written(placed.join(mixed_keys, "key").select("h", "c").distinct(), "rest")
     facts = words.select("h", "size", "bag")
-    left = rest.filter(F.col("n") <= SMALL).select("key", "h", "c").join(facts, "h")
-    together = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
-    pairs = left.alias("x").join(left.alias("y"), together & can_be_similar("x", "y")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    crowded = rest.filter(F.col("n") > SMALL).select("h", "c").distinct()
-    if not crowded.isEmpty():
-        pairs = pairs.union(crowded_pairs(written(crowded.join(facts, "h").join(further_bands(words.join(crowded, "h")), "h"), "crowded")))
-    pairs = pairs.distinct().join(leaders, ["a", "b"], "left_anti")
-    third = written(verified(pairs, words), "links")
-    labels = extended(labels, third)
-    links = links.union(third)
-    for table in (members, leaders, words, rest):
+    sketched_rest = written(rest.join(facts, "h").join(further_bands(words.join(rest, "h")), "h"), "crowded")
+    pairs = written(crowded_pairs(sketched_rest), "pairs")
+    labels, links = settled(pairs, leaders, words, labels, links, (True, False))
+    for table in (members, leaders, words, rest, sketched_rest, pairs):
         drop_table(table)
 
     ends = links.select(F.col("a").alias("h"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("h").agg(F.count("o").alias("n_links"))

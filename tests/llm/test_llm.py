@@ -243,3 +243,23 @@ def test_components_and_crowded_pairs(spark):
                 assert (a, b) in got
             if a < b and component[a] == component[b]:
                 assert (a, b) not in got
+
+
+def test_one_candidate_rule_for_crowded_buckets(spark):
+    """Pairs with a tenth of their words replaced, all of which share a passage: none that shares a bucket may be lost."""
+    passage = [f"shared{i}" for i in range(55)]
+    rows = []
+    for k in range(60):
+        base = [*passage, *(f"g{k}w{i}" for i in range(25))]
+        other = [f"e{k}x{i}" if i >= 55 and i % 3 == 0 else w for i, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    words = {i: near_dup.WordHashes().of(t.split()) for i, t in rows}
+    bands = {i: near_dup.OrderMinHash().of(w) for i, w in words.items()}
+    linked = [(a, a + 1) for a in range(0, 120, 2) if near_dup.similar(words[a], words[a + 1])]
+    meets = [(a, b) for a, b in linked if (bands[a] == bands[b]).any()]
+    crowd = max(np.unique(np.concatenate(list(bands.values())), return_counts=True)[1])
+    print("linked", len(linked), "sharing a bucket", len(meets), "found", sum(got[a] == got[b] for a, b in linked), "largest bucket", crowd)
+    assert crowd > 8 and len(linked) == 60 and len(meets) > 20
+    assert all(got[a] == got[b] for a, b in meets)
