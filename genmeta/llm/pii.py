@@ -152,16 +152,19 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with every confirmed base span, and every account number, replaced by <KIND>; kinds in their order, each on the text that the one before left. A null text stays null."""
-    out = docs
-    for kind in (*BASE, "iban"):
-        text = F.col(text_col)
-
-        def cleaned(matches: Column, kind: str = kind, text: Column = text) -> Column:
-            marks = F.transform(matches, lambda m: F.when(confirmed(kind, m), F.lit(f"<{kind.upper()}>")).otherwise(m))
-            pieces = F.split(text, PATTERNS[kind], -1)
-            return let(pieces, lambda p: F.array_join(F.zip_with(p, marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-
-        found = let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.when(F.size(m) > 0, cleaned(m)).otherwise(text))
-        out = out.withColumn(text_col, F.when(text.rlike(HINTS[kind]), found).otherwise(text))
-    return out
+    """docs with every span that find() keeps, of all kinds, replaced by <KIND>. Spans that overlap are one, marked by the kind of the first, the longest of those that start together. A null text stays null."""
+    text = F.col(text_col)
+    spans = F.concat(*(spans_of(kind, text) for kind in PATTERNS))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("less"), s["kind"])))
+    state = "struct<parts:array<string>,at:bigint>"
+
+    def step(done: Column, s: Column) -> Column:
+        parts, at, end = done["parts"], done["at"], -s["less"]
+        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        cut = F.concat(parts, F.array(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), mark))
+        return F.struct(F.when(s["start"] >= at, cut).otherwise(parts).alias("parts"), F.greatest(at, end).alias("at")).cast(state)
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at")).cast(state)
+    finish = lambda done: F.concat(F.array_join(done["parts"], ""), F.substr(text, (done["at"] + 1).cast("int"), F.length(text)))
+    clean = let(ordered, lambda found: F.when(F.size(found) > 0, F.aggregate(found, start, step, finish)).otherwise(text))
+    return docs.withColumn(text_col, clean)

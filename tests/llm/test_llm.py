@@ -95,6 +95,26 @@ def test_pii(spark, odd):
     assert [r["text"] for r in clean] == ["mail <EMAIL> now", None]
 
 
+def test_redaction_of_each_kind(spark):
+    texts = {
+        "email": ("write to a.b@c.org now", "write to <EMAIL> now"), "ip": ("host 10.0.0.255 up, 1.2.3.999 not", "host <IP> up, 1.2.3.999 not"), "card": ("card 4111 1111 1111 1111.", "card <CARD>."),
+        "phone": ("call +1 415 555 0100!", "call <PHONE>!"), "iban": ("iban DE89370400440532013000 ok", "iban <IBAN> ok"), "iban part": ("serial part DE89370400440532013000", "serial part DE89370400440532013000"),
+        "short_card": ("😀 amex card 371449635398431, order", "😀 amex card 371449635398431, order"), "short_card kept": ("😀 amex card 371449635398431 é", "😀 amex card <SHORT_CARD> é"),
+        "ssn": ("ssn 123-45-6789, ssn 987-65-4321", "ssn <SSN>, ssn 987-65-4321"), "ssn plain": ("number 123-45-6789", "number 123-45-6789"), "overlap": ("call x@1.2.3.4 or +4111111111111111", None), "two": ("a@b.co c@d.co", "<EMAIL> <EMAIL>"), "none": ("", ""),
+    }
+    docs = docs_of(spark, list(enumerate(t for t, _ in texts.values())))
+    got = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    for found, (text, expected), row in zip(got, texts.values(), pii.find(docs).orderBy("doc_id").collect(), strict=True):
+        at, parts = 0, []
+        for s in sorted(row["spans"], key=lambda s: (s["start"], -s["end"], s["kind"])):
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+            at = max(at, s["end"])
+        assert found == "".join(parts) + text[at:]
+        assert expected is None or found == expected
+    assert {s["kind"] for r in pii.find(docs).collect() for s in r["spans"]} == set(pii.PATTERNS)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
