@@ -29,9 +29,11 @@ def fold(modulus: int, id_col: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a session of one machine gets a folder of its own; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='genmeta-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -106,8 +108,18 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return combined([hashes[i : i + n] for i in range(k)])
 
 
-def text_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches cut to few rows, so that a task holds little text at once."""
+def text_rows(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows and few bytes (one row at least), so that a task holds little text at once."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if n <= rows and (n <= 1 or batch.nbytes <= size):
+            yield batch
+        else:
+            half = n // 2 if n <= 2 * rows else (n // rows + 1) // 2 * rows
+            yield from cut(batch.slice(0, half))
+            yield from cut(batch.slice(half))
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows:
+            yield from cut(batch)

@@ -25,11 +25,10 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_table, whole_text
+from .common import new_table, text_rows, whole_text
 
 SEGMENT_TOKENS = 1 << 16
 BLOCK_BITS = 512
@@ -89,70 +88,89 @@ class Code:
         return value
 
 
-# --- tokens of words -----------------------------------------------------------------------------------------------------
-class WordTokens(dict):
-    """Ids of each blank-separated word by a tokenizer of the word-BPE kind, whose ids never depend on neighbouring words.
+# --- tokens of texts -----------------------------------------------------------------------------------------------------
+#: The code points that the tokenizer takes as white space.
+WHITE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    New words of a batch are cut into the pieces that the tokenizer merges within, and new pieces are encoded many at a time;
-    the ids that close a piece tell the pieces apart. Words where that cut is not certain are encoded on their own. Ids are
-    kept as the bytes of 32-bit numbers, so that those of a text are one join.
+
+def uncertain() -> np.ndarray:
+    """True for code points whose kind Python and the tokenizer may see differently: numbers that are neither letters nor
+    decimal digits, those that Python's version of Unicode doesn't assign, and a letter whose lower form has two signs."""
+    signs = map(chr, range(0x110000))
+    return np.array([c == "İ" or (c.isalnum() and not c.isalpha() and not c.isdecimal()) or unicodedata.category(c) == "Cn" for c in signs])
+
+
+class PieceTokens(dict):
+    """Ids of the pieces that a tokenizer of the word-BPE kind merges within; they never depend on neighbouring pieces.
+
+    Texts are cut into such pieces (letters, one number, or other signs; contractions first) and new pieces of a batch are
+    encoded many at a time: the ids that close a piece tell the pieces apart. Words where the cut is not certain (not in
+    composed form, uncertain() code points, a special token) are encoded on their own. Ids are kept as the
+    bytes of 32-bit numbers, so that those of a text are one join. The memory stays within about LIMIT bytes: it is emptied
+    between batches once it holds more.
     """
 
-    LIMIT, AT_ONCE = 1 << 20, 400
-    PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    ASCII_PIECE = re.compile(r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
-    ODD = regex.compile(r"['İ\s]|<\|")
+    LIMIT, AT_ONCE = 64 << 20, 400
+    CONTRACTION = r"'(?:[sStTmMdD]|[rRvV][eE]|[lL]{2})"
+    ASCII_PIECE = re.compile(CONTRACTION + r"|[A-Za-z]+|[0-9]|[^\t\n\v\f\r A-Za-z0-9]+")
+    PIECE = re.compile(rf"{CONTRACTION}|[^\W\d_]+|\d|(?:[^\w{WHITE}]|_)+")
+    WORD = re.compile(f"[^{WHITE}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         closing = [i for s, i in self.tokenizer.get_vocab().items() if s.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[closing] = True
-        self.pieces: dict[str, bytes] = {}
+        self.held = 0
+        self.rare = uncertain()
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > self.LIMIT:
+    def odd(self, text: str) -> bool:
+        if text.isascii() or "<|" in text:
+            return "<|" in text
+        return bool(self.rare[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].any()) or not unicodedata.is_normalized("NFC", text)
+
+    def cut(self, text: str) -> list[str]:
+        return (self.ASCII_PIECE if text.isascii() else self.PIECE).findall(text)
+
+    def learn(self, pieces: set[str]) -> None:
+        if self.held > self.LIMIT:
             self.clear()
-            self.pieces.clear()
-        cut = {}
-        for w in words.difference(self):
-            if w.isascii() and w.isalpha():
-                cut[w] = [w]
-            elif self.ODD.search(w) or not (w.isascii() or unicodedata.is_normalized("NFC", w)):
-                self[w] = self.alone(w)
-            else:
-                cut[w] = (self.ASCII_PIECE if w.isascii() else self.PIECE).findall(w)
-        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
+            self.held = 0
+        new = list(pieces.difference(self))
         groups = [new[i : i + self.AT_ONCE] for i in range(0, len(new), self.AT_ONCE)]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, np.uint32)
             ends, raw = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist(), ids.tobytes()
             if len(ends) == len(group):
-                self.pieces.update(zip(group, (raw[a:b] for a, b in pairwise([0, *ends])), strict=True))
+                self.update(zip(group, (raw[a:b] for a, b in pairwise([0, *ends])), strict=True))
             else:
-                self.pieces.update((p, self.alone(p)) for p in group)
-        for w, pieces in cut.items():
-            self[w] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
+                self.update((p, self.alone(p)) for p in group)
+            self.held += len(raw) + sum(map(len, group)) + 220 * len(group)
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32)
+        """Ids of each text; texts that are held at once should be few."""
+        cuts = [None if self.odd(t) else self.cut(t) for t in texts]
+        words = {t: self.WORD.findall(t) for t, c in zip(texts, cuts, strict=True) if c is None}
+        plain = {w: self.cut(w) for ws in words.values() for w in ws if not self.odd(w)}
+        self.learn(set().union(*(c for c in cuts if c is not None), *plain.values()))
+        for text, pieces in zip(texts, cuts, strict=True):
+            parts = map(self.__getitem__, pieces) if pieces is not None else chain.from_iterable(map(self.__getitem__, plain[w]) if w in plain else [self.alone(w)] for w in words[text])
+            yield np.frombuffer(b"".join(parts), np.uint32)
 
 
-_known: dict[str, WordTokens] = {}
+_known: dict[str, PieceTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+def piece_tokens(path: str) -> PieceTokens:
     """One cache for each worker process."""
     if path not in _known:
-        _known[path] = WordTokens(path)
+        _known[path] = PieceTokens(path)
     return _known[path]
 
 
@@ -174,7 +192,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, shard = word_tokens(tokenizer_path), TaskContext.get().partitionId()
+        tokens, shard = piece_tokens(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         ids, doc_ids, sizes, first, segment, held = [], [], [], 0, 0, 0
 
@@ -184,7 +202,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
                 "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "doc_tokens": pa.array([sizes], pa.list_(pa.int64())), "code": pa.array([pack(np.concatenate(ids))], pa.binary()),
             })
 
-        for batch in batches:
+        for batch in text_rows(batches, 1024):
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), tokens.of(batch.column("text").to_pylist()), strict=True):
                 ids += [own, end]
                 doc_ids.append(doc_id)
