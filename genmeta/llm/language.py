@@ -2,10 +2,12 @@
 
 Weights are learned with follow-the-regularised-leader (per-coordinate rates, elastic-net penalties), so most of them are
 exactly zero; a temperature fitted on rows kept apart calibrates the probabilities. The model is fitted on a sample of at
-most PER_LANG rows of each language (the rows with the smallest hashes of their id); scoring reads whole texts.
+most PER_LANG different texts of each language (those with the smallest hashes) and about MOST_ROWS in all; every language
+takes part. Scoring reads whole texts.
 
 Nulls: a null or letterless text is ``und`` with score 0. Rows with a null language never train. If there is no row to learn
-from, everything is ``und``. Extra columns are ignored.
+from, everything is ``und``; an empty table gives no rows. Rows that share an id are predicted one by one. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import text_rows, whole_text
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANG = 600
-MAX_LANGS = 400
+MOST_ROWS = 60_000
 CHUNK = 1 << 18
 UNKNOWN = "und"
 
@@ -119,22 +121,31 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 3, alpha: float =
     return model
 
 
-def sample(rows: DataFrame, label: str, per_label: int, most_labels: int) -> DataFrame:
-    """At most per_label rows of each label, those with the smallest hash of their id; at most most_labels labels, by name.
+def unit_hash(*cols: str) -> F.Column:
+    """A hash of the columns, spread over [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
-    Only ids are ranked (each task sends at most per_label of a label); the bounded list of ids then fetches the texts.
-    """
-    ids = rows.filter(F.col(label).isNotNull()).select("doc_id", label).withColumn("h", F.xxhash64("doc_id"))
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("h", "doc_id"))).filter(F.col("rank") <= per_label)
-    names = ranked.select(label).distinct().orderBy(label).limit(most_labels)
-    chosen = ranked.join(F.broadcast(names), label).select("doc_id").distinct()  # at most per_label x most_labels ids
-    return rows.filter(F.col(label).isNotNull()).join(F.broadcast(chosen), "doc_id")
+
+def share(n: int, wanted: int) -> F.Column:
+    """The share of n evenly spread hashes that holds about wanted of them, six deviations more."""
+    return F.lit(min(1.0, (wanted + 6 * wanted**0.5 + 10) / max(n, 1)))
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> LanguageModel:
-    """Fits on a bounded sample: at most per_lang rows of each of at most max_langs languages."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    got = sorted(sample(rows, "lang", per_lang, max_langs).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> LanguageModel:
+    """Fits on a bounded sample: the per_lang texts with the smallest hashes of each language, fewer where all languages together have more than most_rows.
+
+    One pass counts the different texts of each language, a second one fetches about as many as are wanted; equal texts of a
+    language meet in partial aggregates, so copies neither fill the sample nor a task.
+    """
+    rows = docs.select(whole_text(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL").withColumn("h", unit_hash("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    if not sizes:
+        return train([], [])
+    wanted = max(1, min(per_lang, most_rows // len(sizes)))
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.25 * (wanted + 6 * wanted**0.5 + 10) / max(r["n"], 1))) for r in sizes], "lang string, cut double")
+    few = rows.join(F.broadcast(cuts), "lang").filter("h < cut").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    got = few.withColumn("rank", rank).filter(F.col("rank") <= wanted).orderBy("h", "lang").select("text", "lang").collect()
     got = [r for r in got if has_letter(r["text"])]
     return train([r["text"] for r in got], [r["lang"] for r in got])
 

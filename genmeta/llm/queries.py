@@ -31,11 +31,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    learnable = docs.filter(fold(5) != 0)
-    languages = language.fit(learnable)
-    labels = read(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic")
-    labelled = learnable.select("doc_id", whole_text().alias("text")).join(labels, "doc_id")
-    model = toxicity.fit(labelled, languages)
+    languages = language.fit(docs.filter(fold(5) != 0))
+    labels = read(spark, sf_dir, "labels").filter(fold(5) != 0)
+    model = toxicity.fit(docs, labels, languages)
     return toxicity.score(docs.withColumn("held_out", fold(5) == 0), model, languages, ["held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 

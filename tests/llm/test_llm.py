@@ -45,6 +45,8 @@ def test_token_store(spark, odd):
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(np.array([*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4").tobytes())
     ids = {r["doc_id"]: (r["start"], r["ids"]) for r in token_store.read_documents(spark, path).collect()}
+    empty = token_store.write_store(odd.limit(0), queries.WORD_TOKENIZER, 2)
+    assert token_store.document_digests(spark, empty).count() == 0
     start, own = ids[8]
     got = token_store.tokens_at(spark, path, spark.createDataFrame([(start,), (start + 5,), (-1,), (10**12,), (None,)], "position long")).collect()
     assert sorted((r["position"], r["id"]) for r in got) == [(start, own[0]), (start + 5, own[5])]
@@ -178,15 +180,50 @@ def test_language_and_toxicity_models():
     assert model.predict("12 !!") == ("und", 0.0) and language.train([], []).predict("abc") == ("und", 0.0)
     y = [i % 3 == 0 for i in range(300)]
     toxic = toxicity.train([make(kinds["aa"]) + (" vileword " if t else " ") + make(kinds["aa"]) for t in y], [int(t) for t in y], ["aa"] * 300)
-    buckets = toxicity.WordBuckets()
-    assert toxic.score(buckets.of(make(kinds["aa"]) + " vileword"), "aa") > 0.5 > toxic.score(buckets.of(make(kinds["aa"])), "aa")
-    assert 0 <= toxic.score(buckets.of(""), "") <= 1
+    buckets, scorer = toxicity.WordBuckets(), toxicity.Scorer(toxic)
+    texts = [make(kinds["aa"]) + " vileword", make(kinds["aa"]), "", "one", "one two", " ".join([make(kinds["aa"])] * 700)]
+    logits = scorer.logits(texts)
+    assert toxic.shifted(logits[0], "aa") > 0.5 > toxic.shifted(logits[1], "aa") and all(0 <= toxic.shifted(z, "") <= 1 for z in logits)
+    assert np.allclose(logits, [toxic.logit(buckets.of(t)) for t in texts], atol=1e-3)
+    # a sample that halves the clean rows must not move the threshold: each stands for two
+    z, y = np.array([0.0, 1, 2, 3, 4]), np.array([0, 0, 1, 0, 1])
+    assert toxicity.best_threshold(z, y, np.ones(5)) != toxicity.best_threshold(z, y, np.where(y == 1, 1.0, 9.0))
+
+
+def test_toxicity_rows(spark, odd):
+    languages = language.fit(odd)
+    texts = [(i, ("vileword " if i % 3 == 0 else "") + f"some words about number{i} and more") for i in range(60)]
+    docs = docs_of(spark, [*texts, (3, "another text of an id"), (None, "no id")])
+    labels = spark.createDataFrame([*((i, int(i % 3 == 0)) for i in range(60)), (3, 0), (None, 1), (999, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, languages)
+    got = {r["doc_id"]: r for r in toxicity.score(docs.filter("doc_id <> 3"), model, languages).collect()}
+    assert np.mean([got[i]["predicted"] == (i % 3 == 0) for i in range(60) if i != 3]) > 0.9
+    assert len(toxicity.score(odd, model, languages).collect()) == 8
+    for few in (labels.limit(0), labels.filter("toxic = 1")):
+        assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, few, languages), languages).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model, languages).count() == 0
 
 
 def test_language_rows(spark, odd):
     got = language.predict(odd, language.fit(odd)).collect()
     assert len(got) == 8 and {r["lang_pred"] for r in got} <= {"en", "und"}
     assert language.predict(odd, language.fit(odd.limit(0))).filter("lang_pred <> 'und'").isEmpty()
+    assert language.predict(odd.limit(0), language.fit(odd)).count() == 0
+    # more languages than rows are wanted: each still takes part; copies count once
+    many = spark.createDataFrame([(i, "same old text" if i < 900 else f"text number {i}", f"l{i % 30}") for i in range(1000)], "doc_id long, text string, lang string")
+    assert len(language.fit(many, most_rows=60).langs) == 30
+
+
+def test_pieces_equal_the_library():
+    tokens = token_store.PieceTokens(queries.WORD_TOKENIZER)
+    rng = random.Random(3)
+    signs = [chr(c) for c in [*range(0x2100), *rng.sample([c for c in range(0x2100, 0x110000) if not 0xD800 <= c < 0xE000], 6000)]]
+    texts = [form.replace("{}", c) for form in ("{}", "a{}B1{}'s", "..{}'re <|x") for c in signs]
+    texts += ["".join(rng.choices("aB1 '\"sStTLlreVE_-.\x1c\x1fé\u0301İ½<|>　\n²", k=rng.randint(0, 30))) for _ in range(5000)]
+    want = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    tokens.LIMIT = 1 << 16  # so that the memory is emptied between batches
+    got = [x.tolist() for at in range(0, len(texts), 1000) for x in tokens.of(texts[at : at + 1000])]
+    assert got == want
 
 
 def test_license(spark):
