@@ -175,6 +175,19 @@ def findings(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no passage; a row with a null id is kept."""
-    return docs.join(findings(docs, benchmark, id_col=id_col).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no passage, each judged by its own text, whatever its id; no shuffle."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), whole_text(item_text_col).alias("text")).filter("item_id IS NOT NULL")
+    rows = docs.withColumn("text_", whole_text(text_col))
+    for part in slices(items):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(part))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench, words = shared.value, WordHashes()
+            for batch in text_rows(batches):
+                words.trim()
+                found = bench.findings([words.of(words_of(t)) for t in batch.column("text_").to_pylist()])
+                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*docs.columns)

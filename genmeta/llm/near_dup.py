@@ -1,23 +1,25 @@
 """Near-duplicate classes by order MinHash.
 
 A text is its lower-cased, blank-separated words; texts with the same words are copies and one vertex. The k-mers are runs
-of five words, labelled with their occurrence number. A sample keeps the two labelled k-mers that are smallest under its own
-permutation, in text order, so it agrees for two texts only if they share both k-mers and their order. Two samples make a
-band. At a k-mer similarity of 0.8 a pair agrees in at least one of 20 bands with probability 1 - 3e-5. Candidates are
-verified by banded alignment of the words: a link needs an edit similarity of 0.8 or more (1 - distance / longer length).
+of five words, labelled with their occurrence number. A sample keeps two labelled k-mers, the smallest or the largest under
+its permutation, in text order, so it agrees for two texts only if they share both k-mers and their order. Pairs that agree
+in any of BANDS samples are candidates, verified by banded alignment of the words: a link needs an edit similarity of 0.8 or
+more (1 - distance / longer length). Five-word runs suffer most from scattered edits; even then a pair of edit similarity
+0.8 shares a fifth of its k-mers, and agrees in one of 64 samples with a probability of about 0.92 (0.99 at 0.85).
 
 Hot groups. Copies meet in partial aggregates. In a bucket members are first compared with its smallest member only, then one
 pair of each two components, so a group of n near copies needs about n alignments; then every pair of different components
-that shares a bucket, whatever its size, again one pair of each two components first. Pairs whose word counts alone prove a
-larger distance are left out before their words are fetched. No pair of one component is compared, no bucket is cut.
+that shares a bucket, whatever its size, dealt by classes of length. Pairs that length or word counts prove to be further
+apart are left out before their words are fetched. No pair of one component is compared, no bucket is cut.
 
 Nulls: a null text is empty; a text without words is a class of its own, one for each row. A null id gives a null class.
-Rows that share an id stay rows. Extra columns are ignored.
+Rows that share an id stay rows. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from .graph import components, extended
 
 K = 5
 SIMILARITY = 0.8
-BANDS, SAMPLES = 20, 2
-BAG = 256
+BANDS = 64
+BAG, PARITY = 256, 1024
+SALTS = 16
 SEED = 0x5EED
 BLOCK = 2048
 
@@ -41,10 +44,10 @@ def words_of(text: str) -> list[str]:
 
 
 class OrderMinHash:
-    def __init__(self, bands: int = BANDS, samples: int = SAMPLES, k: int = K, seed: int = SEED):
-        self.bands, self.samples, self.k = bands, samples, k
+    def __init__(self, bands: int = BANDS, k: int = K, seed: int = SEED):
+        self.bands, self.k = bands, k
         rng = np.random.default_rng(seed)
-        n = bands * samples
+        n = bands // 2  # each permutation gives two samples
         self.flip = rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
         self.times = (rng.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1))[:, None]
 
@@ -64,24 +67,27 @@ class OrderMinHash:
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """One key for each band."""
         x = self.labelled(hashes)
-        rows = np.arange(len(self.flip))
-        low = np.full((len(rows), 2), np.iinfo(np.uint64).max, np.uint64)
-        at = np.zeros((len(rows), 2), np.int64)
+        rows, most = np.arange(len(self.flip)), np.iinfo(np.uint64).max
+        low, high = np.full((2, len(rows), 2), most, np.uint64)  # high: two smallest of the complement
+        at = np.zeros((2, len(rows), 2), np.int64)
         for begin in range(0, len(x), BLOCK):
             h = (x[None, begin : begin + BLOCK] ^ self.flip) * self.times
-            for _ in range(min(2, h.shape[1])):
-                i = h.argmin(1)
-                v = h[rows, i]
-                first, second = v < low[:, 0], (v >= low[:, 0]) & (v < low[:, 1])
-                low[first, 1], at[first, 1] = low[first, 0], at[first, 0]
-                low[first, 0], at[first, 0] = v[first], i[first] + begin
-                low[second, 1], at[second, 1] = v[second], i[second] + begin
-                h[rows, i] = np.iinfo(np.uint64).max
+            for best, where in ((low, at[0]), (high, at[1])):
+                for _ in range(min(2, h.shape[1])):
+                    i = h.argmin(1)
+                    v = h[rows, i]
+                    first, second = v < best[:, 0], (v >= best[:, 0]) & (v < best[:, 1])
+                    best[first, 1], where[first, 1] = best[first, 0], where[first, 0]
+                    best[first, 0], where[first, 0] = v[first], i[first] + begin
+                    best[second, 1], where[second, 1] = v[second], i[second] + begin
+                    h[rows, i] = most
+                if best is low:
+                    h = ~((x[None, begin : begin + BLOCK] ^ self.flip) * self.times)
         if len(x) == 1:
             at[:] = 0
+        at = at.reshape(-1, 2)
         at.sort(1)
-        sample = combined([x[at[:, 0]], x[at[:, 1]]]).reshape(self.bands, self.samples)
-        return combined([*sample.T, np.arange(self.bands, dtype=np.uint64)])
+        return combined([x[at[:, 0]], x[at[:, 1]], np.arange(self.bands, dtype=np.uint64)])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -141,7 +147,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, bands) of (doc_id, text): h is the hash of the words, null for a text without words."""
+    """(doc_id, t, h, bands) of (doc_id, t, text): h is the hash of the words, null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sketch = WordHashes(), OrderMinHash()
@@ -152,13 +158,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 w = words_of(text)
                 keys.append(xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63) if w else None)
                 bands.append(sketch.of(words.of(w)).view(np.int64) if w else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", "h", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, h long, bands array<long>")
 
 
 def word_arrays(texts: DataFrame) -> DataFrame:
-    """(h, words, size, bag): 64-bit hashes of the words of each text, how many there are, and how many fall in each of BAG bins (127 at most)."""
+    """(h, words, size, bag, odd): 64-bit hashes of the words of each text, how many there are, how many fall in each of BAG bins (127 at most), and a bitmap of the PARITY bins that hold an odd number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -168,50 +174,45 @@ def word_arrays(texts: DataFrame) -> DataFrame:
             keys = [xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63) for w in split]
             hashes = [words.of(w) for w in split]
             bags = [np.bincount((x % np.uint64(BAG)).astype(np.int64), minlength=BAG).clip(0, 127) for x in hashes]
-            columns = [pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in hashes], pa.list_(pa.int64())), pa.array([len(w) for w in split], pa.int64()), pa.array(bags, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "words", "size", "bag"])
+            odd = [np.packbits((np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).view(np.int64) for x in hashes]
+            columns = [pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in hashes], pa.list_(pa.int64())), pa.array([len(w) for w in split], pa.int64()), pa.array(bags, pa.list_(pa.int8())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "words", "size", "bag", "odd"])
 
-    return texts.mapInArrow(run, "h long, words array<long>, size long, bag array<tinyint>")
+    return texts.mapInArrow(run, "h long, words array<long>, size long, bag array<tinyint>, odd array<long>")
 
 
 def can_be_similar(x: str, y: str) -> F.Column:
     """False only for pairs that no alignment can link: each word that one text has more often than the other costs an edit.
 
-    Bins count to 127, which can only lower a surplus.
+    An edit changes the parity of two bins at most. Bins count to 127, which can only lower a surplus.
     """
-    size, bag = lambda t: F.col(f"{t}.size"), lambda t: F.col(f"{t}.bag")
-    longer = F.greatest(size(x), size(y))
-    most = F.floor((1 - SIMILARITY) * longer + 1e-9)
+    size, bag, odd = lambda t: F.col(f"{t}.size"), lambda t: F.col(f"{t}.bag"), lambda t: F.col(f"{t}.odd")
+    most = F.floor((1 - SIMILARITY) * F.greatest(size(x), size(y)) + 1e-9)
+    parity = reduce(lambda p, q: p + q, (F.bit_count(odd(x)[i].bitwiseXOR(odd(y)[i])) for i in range(PARITY // 64)))
     surplus = lambda t, u: F.aggregate(F.zip_with(bag(t), bag(u), lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda s, d: s + d)
-    return (F.abs(size(x) - size(y)) <= most) & (surplus(x, y) <= most) & (surplus(y, x) <= most)
+    return (F.abs(size(x) - size(y)) <= most) & (parity <= 2 * most) & (surplus(x, y) <= most) & (surplus(y, x) <= most)
 
 
-def further_bands(words: DataFrame) -> DataFrame:
-    """(h, more): the band keys of sketches() again, from the words: only few texts need them as a list."""
+def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those (a, b) that can_be_similar()."""
+    of = lambda col, name: facts.select(F.col("h").alias(col), F.struct("size", "bag", "odd").alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(can_be_similar("x", "y")).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = OrderMinHash()
-        for batch in text_rows(batches):
-            more = [sketch.of(np.asarray(x.values).view(np.uint64)).view(np.int64) for x in batch.column("words")]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(more, pa.list_(pa.int64()))], ["h", "more"])
-
-    return words.select("h", "words").mapInArrow(run, "h long, more array<long>")
 
+def crowded_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of members (key, h, c, size, bag, odd) of one bucket but of different components that can_be_similar().
 
-def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b) of texts (h, c, size, bag, more) from different components that agree in any band.
-
-    A pair comes from the first band in which it agrees only. In a bucket, members of its largest component meet only those
-    of other components, so one large component costs no comparisons within itself.
+    In a bucket, members of its largest component meet only those of other components, so one large component costs no
+    comparisons within itself. Texts meet within classes of length: the longer is at most 1 / SIMILARITY as long, so it is
+    in the same class or the next, and a crowded bucket is dealt over many tasks.
     """
-    rows = texts.select("*", F.posexplode("more").alias("band", "m"))
-    kinds = rows.groupBy("band", "m", "c").agg(F.count("*").alias("n")).groupBy("band", "m").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("kinds"))
-    rows = rows.join(kinds.filter("kinds > 1").drop("kinds"), ["band", "m"])
-    x, y = rows.filter("c <> top").alias("x"), rows.alias("y")
-    agree = F.zip_with("x.more", "y.more", lambda p, q: p == q)
+    kinds = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("kinds"))
+    rows = members.join(kinds.filter("kinds > 1").drop("kinds"), "key")
+    tier = F.floor(F.log("size") / F.lit(float(-np.log(SIMILARITY))) + 1e-9)
+    x = rows.filter("c <> top").withColumn("tier", F.explode(F.sequence(tier - 1, tier + 1))).alias("x")
+    y = rows.withColumn("tier", tier).alias("y")
     once = (F.col("y.c") == F.col("y.top")) | (F.col("x.h") < F.col("y.h"))
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.c") != F.col("y.c")) & once
-    met &= F.array_position(agree, F.lit(True)) == F.col("x.band") + 1
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.tier") == F.col("y.tier")) & (F.col("x.c") != F.col("y.c")) & once
     return x.join(y, met & can_be_similar("x", "y")).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
@@ -248,9 +249,41 @@ def settled(pairs: DataFrame, tested: DataFrame, words: DataFrame, labels: DataF
     return labels, links
 
 
+def class_ids(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, c, class_id) of (h, doc_id): the smallest doc_id of each component. The join by component is salted: one may hold most texts."""
+    linked = texts.join(labels.select(F.col("v").alias("h"), "c"), "h").withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
+    least = linked.groupBy("c").agg(F.min("doc_id").alias("class_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return linked.join(least, ["c", "salt"]).select("h", "c", "class_id")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every row: class_id is the smallest doc_id among all that links connect; n_links counts the linked different texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return placed(docs, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class: that with the smallest id, then the smallest hash of its text; of equal rows one.
+
+    Rows are told apart by id and text, so a row stays whatever other rows share its id. Rows with a null id or without words
+    stay as they are. Texts are shuffled once.
+    """
+    where = written(placed(docs, id_col, text_col).filter("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "t", "c").agg(F.count("*").alias("n")), "placed")
+    best = where.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("best")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = where.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)))
+    decided = written(salted.join(best, ["c", "salt"]).select("doc_id", "t", "n", ((F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.t") == F.col("t"))).alias("stays")).filter("n > 1 OR NOT stays"), "decided")
+    keyed = docs.withColumn("id_", F.col(id_col).cast("long")).withColumn("t_", F.xxhash64(whole_text(text_col)))
+    of = lambda rows: rows.select(F.col("doc_id").alias("id_"), F.col("t").alias("t_")).distinct()
+    out = keyed.join(of(decided), ["id_", "t_"], "left_anti").select(*docs.columns)
+    repeated = decided.filter("stays")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(of(repeated), ["id_", "t_"], "left_semi").dropDuplicates(["id_", "t_"]).select(*docs.columns))
+    return out
+
+
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, h, c, class_id, n_links) of every row: t is a hash of its text, h of its words, c names its component."""
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     sketched = written(sketches(rows), "sketches")
     texts = sketched.filter("h IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"))
     band_rows = written(texts.select("h", F.explode("bands").alias("key")), "bands")
@@ -258,29 +291,30 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     members = written(band_rows.join(shared, "key"), "members")  # (key, h, least) of buckets with two texts or more
     drop_table(band_rows)
     wanted = members.select("h").distinct()
-    reps = sketched.join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = sketched.select("doc_id", "h").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     words = written(word_arrays(rows.join(reps.distinct(), "doc_id").select("text")).dropDuplicates(["h"]), "words")
+    facts = words.select("h", "size", "bag", "odd")
 
     # first each text with the smallest of its buckets' smallest members, then with those that are still apart
-    leaders = members.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct()
+    leaders = plausible(members.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct(), facts)
     leaders = written(leaders, "leaders")
-    links = written(verified(leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), words), "links")
-    labels = components(links)
     tested = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(verified(tested, words), "links")
+    labels = components(links)
     labels, links = settled(leaders, tested, words, labels, links, (True, True, False))
 
     # then what is still apart within a bucket
-    placed = relabelled(members.select("key", "h"), labels, "h", "c")
-    mixed_keys = placed.groupBy("key", "c").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n")).filter("n > 1")
-    rest = written(placed.join(mixed_keys, "key").select("h", "c").distinct(), "rest")
-    facts = words.select("h", "size", "bag")
-    sketched_rest = written(rest.join(facts, "h").join(further_bands(words.join(rest, "h")), "h"), "crowded")
-    pairs = written(crowded_pairs(sketched_rest), "pairs")
+    now = relabelled(members.select("key", "h"), labels, "h", "c")
+    mixed_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    crowd = written(now.join(mixed_keys, "key").join(facts, "h"), "crowded")
+    pairs = written(crowded_pairs(crowd), "pairs")
     labels, links = settled(pairs, leaders, words, labels, links, (True, False))
-    for table in (members, leaders, words, rest, sketched_rest, pairs):
+    for table in (members, leaders, words, crowd, pairs):
         drop_table(table)
 
     ends = links.select(F.col("a").alias("h"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("h").agg(F.count("o").alias("n_links"))
-    placed = relabelled(sketched.select("doc_id", "h"), labels, "h", "c").join(ends, "h", "left")
-    least = placed.filter("h IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(least, "c", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = sketched.filter("h IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    of_text = own.select("h", F.col("doc_id").alias("own")).join(class_ids(own, labels), "h", "left").join(ends, "h", "left").select("h", F.coalesce("c", "h").alias("c"), F.coalesce("class_id", "own").alias("class_id"), "n_links")
+    joined = sketched.select("doc_id", "t", "h").join(of_text, "h", "left")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    return joined.select("doc_id", "t", "h", "c", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -285,21 +285,54 @@ def test_components_and_crowded_pairs(spark):
     texts += [" ".join(f"other{i}-{j}" for j in range(60)) for i in range(3)]
     words = near_dup.word_arrays(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["h"])
     rows = words.collect()
-    both = words.select("h", "size", "bag")
+    both = words.select("h", "size", "bag", "odd")
     may = {(r["a"], r["b"]) for r in both.alias("x").join(both.alias("y"), near_dup.can_be_similar("x", "y")).selectExpr("x.h AS a", "y.h AS b").collect()}
     arrays = {r["h"]: np.array(r["words"]) for r in rows}
-    grams = {h: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for h, w in arrays.items()}
-    asked = words.select("h", "size", "bag").join(near_dup.further_bands(words), "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
+    keys = {h: near_dup.OrderMinHash().of(w.view(np.uint64)).view(np.int64).tolist() for h, w in arrays.items()}
+    buckets = spark.createDataFrame([(h, k) for h, ks in keys.items() for k in ks], "h long, key long")
+    asked = buckets.join(both, "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
     component = {r["h"]: r["c"] for r in asked.select("h", "c").collect()}
     got = {(r["a"], r["b"]) for r in near_dup.crowded_pairs(asked).collect()}
+    assert got == {(a, b) for a, b in may if a < b and component[a] != component[b] and set(keys[a]) & set(keys[b])}
     for a in arrays:
         for b in arrays:
             if near_dup.similar(arrays[a], arrays[b]):
                 assert (a, b) in may
-            if a < b and component[a] != component[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
-                assert (a, b) in got
-            if a < b and component[a] == component[b]:
-                assert (a, b) not in got
+
+
+def test_classes_against_all_pairs(spark):
+    """On a whole table: classes join linked texts only, and lose next to no link of the edit similarity that brute force finds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r["doc_id"], near_dup.WordHashes().of(near_dup.words_of(r["text"] or ""))) for r in docs.collect()]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    links = [(a, b) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if len(x) and len(y) and near_dup.similar(x, y)]
+    assert len(got) == len(texts) and len(links) > 5
+    assert np.mean([got[a] == got[b] for a, b in links]) >= 0.9
+    joined = {a: a for a, _ in texts}
+    for _ in texts:
+        for a, b in links:
+            joined[a] = joined[b] = min(joined[a], joined[b])
+    assert all(joined[i] == joined[c] for i, c in got.items())
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choice(WORDS) + str(i) for i in range(40)) for _ in range(4))
+    docs = docs_of(spark, [(7, a), (7, b), (3, b), (9, c), (9, c), (None, d), (None, None), (5, ""), (5, " ")]).withColumn("id_", F.lit(1))
+    kept = P.near_duplicates(spark, docs, "")
+    assert kept.columns == P.COLUMNS
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(7, a), (3, b), (9, c), (0, d), (0, ""), (5, ""), (5, " ")])
+    assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = P.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == P.COLUMNS and sorted(r["text"] or "" for r in clean.collect()) == sorted([b, b, c, c, d, "", "", " "])
+    assert P.decontamination(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert P.personal_data(spark, docs, "").count() == 9 and P.byte_tokens(spark, docs, "").count() == 9
+    langs = P.language_id(spark, docs, "")
+    assert langs.columns == P.COLUMNS and sorted(r["text"] for r in langs.collect()) == sorted([a, b, b, c, c, d])
+    assert [n for n, _ in P.STAGES] == ["language ID", "near duplicates", "decontamination", "personal data", "byte BPE"]
 
 
 def test_one_candidate_rule_for_crowded_buckets(spark):
