@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, personal data, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and rereads
-it. All but the last return the columns of documents. Rows whose doc_id is null pass the filters as they are.
+it. All but the last return the columns of documents; further columns go. A null text counts as the empty text, which the
+first stage drops since it has no letter. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genmeta.llm import byte_bpe, decontaminate, language, near_dup, pii
@@ -29,15 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate class; of rows that share that doc_id, one."""
-    gone = near_dup.classes(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return kept.withColumn("first", first).filter((F.col("first") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
+    """Keeps one row of each near-duplicate class, that with the smallest doc_id; rows are told apart by id and text. Rows with a null doc_id or without words stay."""
+    return near_dup.representatives(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark; each row is judged by its own text. An empty benchmark drops nothing."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
