@@ -263,6 +263,28 @@ def test_nearest(spark):
     assert hits >= 57 and len(got) == 60
 
 
+@pytest.mark.parametrize("kind", ["large", "tiny", "tight", "mixed"])
+def test_nearest_of_any_magnitude(spark, kind):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1200, 24))
+    v = {"large": v * 1e200, "tiny": v * 1e-200, "tight": 1 + v * 3e-7, "mixed": v * 10.0 ** rng.integers(-9, 6, (1200, 1))}[kind]
+    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)] + [(5000, [float("inf")] * 24, "x"), (5100, None, "x"), (5200, [0.0] * 24, "x"), (5300, [None] * 24, "x"), (5400, [1.0], "x")]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, d string"), lambda i: i % 100 == 0).collect()
+    assert {r["query_id"] for r in got} == set(range(0, 1200, 100)) and max(r["vec_id"] for r in got) < 1200
+    hits = 0
+    for q in range(0, 1200, 100):
+        d = ann.lengths(v - v[q])
+        best = sorted((x, i) for i, x in enumerate(d) if i != q)[:10]
+        own = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        hits += len(set(own) & {i for _, i in best})
+        assert all(np.isclose(s, d[i], rtol=1e-12) for i, s in own.items())
+    assert hits >= 108
+
+
+def test_nearest_of_an_empty_table(spark):
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0).count() == 0
+
+
 def test_components_and_crowded_pairs(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 130)]
