@@ -258,14 +258,14 @@ def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(rf"""WITH c AS ({duck(X.CHUNKS)}), k AS (SELECT file_id, max(chunk_key = 'parameters') AS has_block, max(chunk_key = 'prompt') AS has_graph, max(chunk_key = 'Comment') AS has_json, max(chunk_key = 'exif:UserComment') AS has_comment FROM c GROUP BY file_id),
  v AS (SELECT file_id * 10 AS file_id, CASE file_id % 7 WHEN 0 THEN 'ComfyUI' WHEN 1 THEN 'Forge' ELSE 'Automatic1111' END AS g FROM ({duck(X.BLOCKS)})), j AS (SELECT file_id * 10 + 1 AS file_id, CASE file_id % 3 WHEN 0 THEN 'InvokeAI' WHEN 1 THEN 'SwarmUI' ELSE 'NovelAI' END AS g FROM ({duck(X.JSONS)})),
- t AS (SELECT doc_id * 10 + 3 AS file_id, text FROM documents WHERE doc_id % 6 = 0 AND strlen(text) >= 15 AND NOT regexp_matches(text, '0x[0-9A-Fa-f]{{5}}') AND len(list_filter(regexp_split_to_array(text, '[ \t\r\n,]'), lambda w: w <> '')) >= 4 AND NOT regexp_matches(text, '^[{{\[]'))
+ t AS (SELECT doc_id * 10 + 3 AS file_id, text FROM documents WHERE doc_id % 2 = 0 AND strlen(text) >= 15 AND NOT regexp_matches(text, '0x[0-9A-Fa-f]{{5}}') AND len(list_filter(regexp_split_to_array(text, '[ \t\r\n,]'), lambda w: w <> '')) >= 4 AND NOT regexp_matches(text, '^[{{\[]'))
  SELECT g AS generator, count(*) AS files FROM (SELECT g FROM v UNION ALL SELECT g FROM j UNION ALL SELECT 'ComfyUI' FROM k WHERE has_graph UNION ALL SELECT 'AI Image' FROM t) GROUP BY g""")
 def generator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1, M7, M8."""
     return image_info(spark, sf_dir).groupBy("generator").agg(F.count("*").alias("files"))
 
 
-MERGE_SQL = f"""WITH g AS (SELECT o.* FROM orders o WHERE o_orderkey % 5 = 0) SELECT o_orderkey * 10 + 2 AS file_id, 'ComfyUI' AS generator, CASE WHEN o_orderkey % 20 = 0 THEN 'from a block' ELSE 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END END AS prompt,
+MERGE_SQL = f"""WITH g AS (SELECT o.* FROM orders o) SELECT o_orderkey * 10 + 2 AS file_id, 'ComfyUI' AS generator, CASE WHEN o_orderkey % 20 = 0 THEN 'from a block' ELSE 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END END AS prompt,
  'low ' || o_orderpriority AS negative_prompt, o_orderkey * 31 AS seed, 'euler' AS sampler, '512x768' AS size, CASE WHEN o_orderkey % 10 = 0 THEN 'v' || (o_orderkey % 3) END AS vae, '2:3' AS aspect_ratio, 0.39::DOUBLE AS megapixels FROM g"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
@@ -61,17 +63,12 @@ SELECT file_id * 10 AS file_id, 0 AS ord, chunk_key, text FROM ({BLOCKS})
 UNION ALL SELECT file_id * 10 AS file_id, 1 AS ord, 'xmp' AS chunk_key, concat('<x>', CAST(file_id AS STRING), '</x>') AS text FROM ({BLOCKS}) WHERE file_id % 4 = 0
 UNION ALL SELECT file_id * 10 AS file_id, -1 AS ord, chunk_key, 'Steps: 1 older text' AS text FROM ({BLOCKS}) WHERE file_id % 6 = 0
 UNION ALL SELECT file_id * 10 + 1 AS file_id, 0 AS ord, chunk_key, text FROM ({JSONS})
-UNION ALL SELECT file_id * 10 + 2 AS file_id, 0 AS ord, chunk_key, text FROM ({GRAPHS}) WHERE file_id % 5 = 0
+UNION ALL SELECT file_id * 10 + 2 AS file_id, 0 AS ord, chunk_key, text FROM ({GRAPHS})
 UNION ALL SELECT file_id * 10 + 2 AS file_id, 1 AS ord, 'parameters' AS chunk_key, concat('from a block', chr(10), 'Negative prompt: worse', chr(10), 'Steps: 9, Sampler: Heun, CFG scale: 3, Seed: 5, Size: 640x640, VAE: v', CAST(file_id % 3 AS STRING)) AS text FROM ({GRAPHS}) WHERE file_id % 10 = 0
-UNION ALL SELECT doc_id * 10 + 3 AS file_id, 0 AS ord, CASE WHEN doc_id % 2 = 0 THEN 'exif:UserComment' ELSE 'xmp:dc:description' END AS chunk_key, text FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id * 10 + 3 AS file_id, 0 AS ord, CASE WHEN doc_id % 2 = 0 THEN 'exif:UserComment' ELSE 'xmp:dc:description' END AS chunk_key, text FROM documents
 """
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a recipe over the tables in sf_dir."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
-    for name, df in frames.items():
-        df.createOrReplaceTempView(f"genmeta_{name}")
-    for name in frames:
-        sql = __import__("re").sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 genmeta_{name}", sql)
-    return spark.sql(sql)
+    """The rows of a recipe over the tables in sf_dir, each read by its path."""
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))

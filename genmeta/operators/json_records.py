@@ -25,9 +25,13 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def document(text: Column) -> Column:
-    """The object from the first brace on, NaN and infinities as 0; null if it can't be read."""
-    body = F.regexp_replace(F.substr(text, F.locate("{", text), F.length(text)), r"([:\[,]\s*)(?:NaN|-?Infinity)\b", "$10")
-    return F.when(F.contains(text, F.lit("{")), F.try_parse_json(body))
+    """The object from the first brace on, NaN and infinities outside strings as 0; null if it can't be read."""
+    body = F.substr(text, F.locate("{", text), F.length(text))
+    # strings and the words to replace each get a mark (a sign that no JSON holds raw); that after a string goes again
+    marked = F.regexp_replace(body, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|-?\b(?:NaN|Infinity)\b', "$1\u0001")
+    finite = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("0"))
+    odd = F.contains(body, F.lit("NaN")) | F.contains(body, F.lit("Infinity"))
+    return F.when(F.contains(text, F.lit("{")), F.try_parse_json(F.when(odd, finite).otherwise(body)))
 
 
 def number(doc: Column, path: Column) -> Column:
@@ -59,18 +63,28 @@ def records(chunks: DataFrame) -> DataFrame:
     text = lambda f: T.none_if_empty(F.try_variant_get(doc, path(f), "string"))
     w, h = (number(doc, path(f)).try_cast("int") for f in ("width", "height"))
     named = lambda p: F.try_variant_get(doc, F.lit(p), "array<variant>")
+    string = lambda p: F.try_variant_get(doc, F.lit(p), "string")
     item = lambda x, p, t: F.try_variant_get(x, F.lit(p), t)
-    weights = named("$.loraweights")
+    is_text = lambda p: F.schema_of_variant(F.try_variant_get(doc, F.lit(p), "variant")) == "STRING"
+    # a list is an array, or one string with commas
+    listed = lambda p: F.transform(F.when(is_text(p), F.split(string(p), ",")).otherwise(F.transform(named(p), lambda x: x.cast("string"))), T.trim_blank)
+    as_weight = lambda w: F.coalesce(T.compact_number(w.try_cast("double")), w)
+    with_weight = lambda name, w: F.concat_ws(": ", name, T.none_if_empty(w))
+    filled = lambda names: F.filter(names, lambda x: F.coalesce(x, F.lit("")) != "")
+    base = lambda x: F.element_at(F.split(x, "/"), -1)
+    multipliers = F.filter(F.split(string("$.loras_multipliers"), r"\s+"), lambda x: x != "")
     lora = (
         F.when(F.col("decoder") == "InvokeAI", F.transform(named("$.loras"), lambda x: F.concat_ws(": ", item(x, "$.model.name", "string"), T.compact_number(item(x, "$.weight", "double")))))
-        .when(F.col("decoder") == "SwarmUI", F.transform(named("$.loras"), lambda x, i: F.concat_ws(": ", x.cast("string"), T.compact_number(F.get(weights, i).cast("string").try_cast("double")))))
+        .when(F.col("decoder") == "SwarmUI", filled(F.transform(listed("$.loras"), lambda x, i: F.when(x != "", with_weight(x, as_weight(F.get(listed("$.loraweights"), i)))))))
         .when(F.col("decoder") == "Draw Things", F.transform(named("$.lora"), lambda x: F.concat_ws(": ", item(x, "$.model", "string"), T.compact_number(item(x, "$.weight", "double")))))
-        .when(F.col("decoder") == "WanGP", F.transform(named("$.activated_loras"), lambda x: F.element_at(F.split(x.cast("string"), "/"), -1)))
+        .when(F.col("decoder") == "WanGP", filled(F.transform(named("$.activated_loras"), lambda x, i: F.when((F.schema_of_variant(x) == "STRING") & (base(x.cast("string")) != ""), with_weight(base(x.cast("string")), F.get(multipliers, i))))))
+        .when(F.col("decoder") == "Easy Diffusion", F.array(string("$.use_lora_model")))
     )
-    size = F.coalesce(T.size_string(w, h), F.when(F.col("decoder") == "Draw Things", F.try_variant_get(doc, F.lit("$.size"), "string")))
+    model = F.coalesce(F.when(F.col("decoder") == "WanGP", T.none_if_empty(base(string("$.model_filename")))), text("model"))
+    size = F.coalesce(T.size_string(w, h), F.when(F.col("decoder") == "Draw Things", string("$.size")), F.when(F.col("decoder") == "WanGP", T.none_if_empty(string("$.resolution"))))
     clip = number(doc, path("clip_skip")).try_cast("int")
     out = gated.withColumns({
-        "generator": F.col("decoder"), "prompt": text("prompt"), "negative_prompt": text("negative_prompt"), "model": T.strip_model_ending(text("model")), "model_hash": T.real_hash(F.regexp_replace(text("model_hash"), "^blake3:", "")),
+        "generator": F.col("decoder"), "prompt": text("prompt"), "negative_prompt": text("negative_prompt"), "model": T.strip_model_ending(model), "model_hash": T.real_hash(F.regexp_replace(text("model_hash"), "^blake3:", "")),
         "seed": number(doc, path("seed")).try_cast("bigint"), "cfg_scale": number(doc, path("cfg_scale")).try_cast("double"), "steps": number(doc, path("steps")).try_cast("int"),
         "sampler": text("sampler"), "scheduler": text("scheduler"), "clip_skip": F.when(F.col("decoder") == "SwarmUI", F.abs(clip)).otherwise(clip), "size": size,
         "denoising_strength": number(doc, path("denoising_strength")).try_cast("double"), "vae": T.strip_model_ending(text("vae")), "lora": T.none_if_empty(F.array_join(lora, ", ")), "full_parameters": T.trim_blank(F.col("text")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genmeta import catalog
 from genmeta.functions import text as T
-from genmeta.operators import blocks, graph
+from genmeta.operators import blocks, graph, json_records
 from genmeta.plans import dispatch
 from genmeta.sources import images
 from genmeta.streaming import ingest
@@ -80,6 +80,44 @@ def test_resources_and_hashes(spark, line, model, lora):
     assert (rows["model"], rows["lora"], rows["steps"], rows["seed"]) == (model, lora, 5, 3)
 
 
+@pytest.mark.parametrize(
+    "prompt,line,lora",
+    [
+        ("<lora:x:0.5> <lora:x:0.8>", "", "x: 0.5"),
+        ("<lora:a/x:1> b", 'Lora hashes: "b/x: 12, x: 13"', "a/x: 1, b/x"),
+        ("<lora:x>, <lyco:y:>, <lora:z:0.125:2>, <lora: :1>", "", "x, y, z: 0.125"),
+        ("<lora:x:strong>", 'Lora hashes: "X.safetensors: 1"', "x: strong"),
+        ("cat", 'Lora hashes: "a: 1", Clip skip: 2, Lora hashes: "b: 2, c: d: 3"', "a, b, c: d"),
+    ],
+)
+def test_merged_loras(spark, prompt, line, lora):
+    rows = blocks.records(spark.createDataFrame([(1, "parameters", f"{prompt}\nSteps: 5, Sampler: Euler, Seed: 3, {line}")], "file_id int, chunk_key string, text string")).first()
+    assert rows["lora"] == lora
+
+
+def test_resource_name_with_bracket(spark):
+    line = 'Civitai resources: [{"type":"checkpoint","modelName":"base] one"}]'
+    rows = blocks.records(spark.createDataFrame([(1, "parameters", f"a cat\nSteps: 5, Sampler: Euler, Seed: 3, {line}")], "file_id int, chunk_key string, text string")).first()
+    assert rows["model"] == "base] one"
+
+
+def test_json_records_of_rare_shapes(spark):
+    texts = [
+        '{"negative_prompt":"a hall, Infinity mirror, NaN","positive_prompt":"say \\"NaN\\"","seed":1,"cfg_scale":NaN,"x":[-Infinity, Infinity]}',
+        '{"prompt":"p","activated_loras":["dir/one.safetensors","two",3],"loras_multipliers":"0.5  1.25","model_filename":"https://h/base_model.safetensors","model_type":"t2v","resolution":"832x480"}',
+        '{"prompt":"p","cfgscale":6,"loras":"a, b,,c","loraweights":"0.50, x"}',
+        '{"prompt":"p","use_stable_diffusion_model":"m","use_lora_model":"style"}',
+    ]
+    rows = {r["generator"]: r for r in json_records.records(spark.createDataFrame([(i, "Comment", t) for i, t in enumerate(texts)], "file_id int, chunk_key string, text string")).collect()}
+    assert rows["InvokeAI"]["negative_prompt"] == "a hall, Infinity mirror, NaN" and rows["InvokeAI"]["prompt"] == 'say "NaN"' and rows["InvokeAI"]["cfg_scale"] == 0
+    assert (rows["WanGP"]["model"], rows["WanGP"]["size"], rows["WanGP"]["lora"]) == ("base_model", "832x480", "one.safetensors: 0.5, two: 1.25")
+    assert rows["SwarmUI"]["lora"] == "a: 0.5, b: x, c" and rows["Easy Diffusion"]["lora"] == "style"
+
+
+def test_search_hits(spark):
+    assert catalog.search_prompts(spark, SF).count() > 0
+
+
 def test_closure_with_cycle(spark):
     links = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (2, "a", "a")], "file_id int, dst string, src string")
     got = graph.closure(links, spark.createDataFrame([(1, "a"), (2, "a")], "file_id int, node string")).collect()
