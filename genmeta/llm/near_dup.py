@@ -9,8 +9,7 @@ more (1 - distance / longer length). Five-word runs suffer most from scattered e
 
 Hot groups. Copies meet in partial aggregates. In a bucket members are first compared with its smallest member only, then one
 pair of each two components, so a group of n near copies needs about n alignments; then every pair of different components
-that shares a bucket, whatever its size, dealt by classes of length. Pairs that length or word counts prove to be further
-apart are left out before their words are fetched. No pair of one component is compared, no bucket is cut.
+that shares a bucket, whatever its size. Pairs that length or word counts prove to be further apart are left out before their words are fetched. No pair of one component is compared, no bucket is cut.
 
 Nulls: a null text is empty; a text without words is a class of its own, one for each row. A null id gives a null class.
 Rows that share an id stay rows. An empty table gives no rows. Extra columns are ignored.
@@ -223,20 +222,17 @@ def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def crowded_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of members (key, h, c, size, odd) of one bucket but of different components whose lengths and parities allow a link.
+    """(a, b) of members (key, h, c, size, bag, odd) of one bucket but of different components whose lengths, parities and bags allow a link.
 
     In a bucket, members of its largest component meet only those of other components, so one large component costs no
-    comparisons within itself. Texts meet within classes of length: the longer is at most 1 / SIMILARITY as long, so it is
-    in the same class or the next, and a crowded bucket is dealt over many tasks.
+    comparisons within itself.
     """
     kinds = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("kinds"))
     rows = members.join(kinds.filter("kinds > 1").drop("kinds"), "key")
-    tier = F.floor(F.log("size") / F.lit(float(-np.log(SIMILARITY))) + 1e-9)
-    x = rows.filter("c <> top").withColumn("tier", F.explode(F.sequence(tier - 1, tier + 1))).alias("x")
-    y = rows.withColumn("tier", tier).alias("y")
+    x, y = rows.filter("c <> top").alias("x"), rows.alias("y")
     once = (F.col("y.c") == F.col("y.top")) | (F.col("x.h") < F.col("y.h"))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.tier") == F.col("y.tier")) & (F.col("x.c") != F.col("y.c")) & once
-    return x.join(y, met & parities_allow("x", "y")).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & parities_allow("x", "y") & bags_allow("x", "y")
+    return x.join(y, met).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -329,8 +325,8 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # then what is still apart within a bucket
     now = relabelled(members.select("key", "h"), labels, "h", "c")
     mixed_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    crowd = written(now.join(mixed_keys, "key").join(facts.drop("bag"), "h"), "crowded")
-    pairs = written(plausible(crowded_pairs(crowd), facts), "pairs")
+    crowd = written(now.join(mixed_keys, "key").join(facts, "h"), "crowded")
+    pairs = written(crowded_pairs(crowd), "pairs")
     labels, links = settled(pairs, leaders, words, labels, links, (True, False))
     for table in (members, leaders, words, crowd, pairs):
         drop_table(table)

@@ -315,7 +315,8 @@ def test_components_and_crowded_pairs(spark):
     asked = buckets.join(both, "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
     component = {r["h"]: r["c"] for r in asked.select("h", "c").collect()}
     got = {(r["a"], r["b"]) for r in near_dup.crowded_pairs(asked).collect()}
-    assert got == {(a, b) for a, b in may if a < b and component[a] != component[b] and set(keys[a]) & set(keys[b])}
+    met = {(a, b) for a, b in may if a < b and component[a] != component[b] and set(keys[a]) & set(keys[b])}
+    assert got <= met and all((a, b) in got for a, b in met if near_dup.similar(arrays[a], arrays[b]))
     every = spark.createDataFrame([(a, b) for a in arrays for b in arrays], "a long, b long")
     left = {(r["a"], r["b"]) for r in near_dup.plausible(every, both).collect()}
     assert len(left) < len(arrays) ** 2 and left <= may
