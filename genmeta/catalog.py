@@ -234,10 +234,18 @@ def graph_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT o_orderkey AS file_id, 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END AS prompt, 'low ' || o_orderpriority AS negative_prompt, o_orderkey % 4 = 0 AS partial FROM orders""")
 def graph_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts resolved through joins and passes, with markers for parts only known at run time."""
+    """Prompts resolved through joins and passes, with markers for parts only known at run time."""
     return graph.records(X.view(spark, sf_dir, X.GRAPHS)).select("file_id", "prompt", "negative_prompt", "partial")
 
 
+@register("""SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey + 7 ELSE o_orderkey END AS seed, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 9 ELSE 20 END AS INTEGER) AS steps, CASE WHEN o_orderkey % 3 = 2 THEN 'heun' ELSE 'euler' END AS sampler,
+ CASE WHEN o_orderkey % 3 = 2 THEN 'own ' || o_orderkey WHEN o_custkey % 2 = 0 OR o_custkey % 3 = 0 THEN 'first ' || o_custkey ELSE 'second' END AS prompt, CAST(NULL AS VARCHAR) AS negative_prompt, 'm' AS model, 'a.safetensors: 0.5, style' || (o_custkey % 5) || '.safetensors' AS lora,
+ CASE WHEN o_orderkey % 3 = 0 THEN '1.5' END AS hires_upscale, CASE WHEN o_orderkey % 3 = 1 THEN '4x' END AS hires_upscaler FROM orders""")
+def graph_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of two passes."""
+    return graph.records(X.view(spark, sf_dir, X.TWO_PASSES)).select("file_id", "seed", "steps", "sampler", "prompt", "negative_prompt", "model", "lora", "hires_upscale", "hires_upscaler")
+
+
 CHUNK_SQL = f"""WITH c AS ({duck(X.CHUNKS)}), a AS (SELECT file_id, chunk_key, arg_max(text, ord) AS text FROM c GROUP BY ALL), t AS (SELECT file_id, chunk_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM a)
  SELECT file_id, chunk_key, row_number() OVER (PARTITION BY file_id ORDER BY chunk_key) AS cand_rank, CASE chunk_key WHEN 'prompt' THEN 0 WHEN 'workflow' THEN 1 ELSE 2 END AS graph_rank, chunk_key = 'xmp' AS is_xmp,
  starts_with(text, '{{') AND NOT regexp_matches(text, '(?m)^(Steps:|Negative prompt:)') AS is_graph_text, max(chunk_key IN ('prompt', 'workflow') OR contains(chunk_key, 'ComfyUI') OR (starts_with(text, '{{') AND (contains(text, 'class_type') OR contains(text, 'KSampler')))) OVER (PARTITION BY file_id) AS has_graph_chunk

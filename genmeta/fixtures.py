@@ -44,6 +44,21 @@ SELECT o_orderkey AS file_id, 'prompt' AS chunk_key, concat(
 FROM orders
 """
 
+#: Two passes: chained by latents, by pixels, and by pixels with a prompt of its own.
+TWO_PASSES = """
+SELECT o_orderkey AS file_id, 'prompt' AS chunk_key, concat(
+ '{"1":{"class_type":"CheckpointLoaderSimple","inputs":{"ckpt_name":"m.safetensors"}},"2":{"class_type":"LoraLoader","inputs":{"lora_name":"style', CAST(o_custkey % 5 AS STRING), '.safetensors","model":["13",0]}},',
+ '"13":{"class_type":"Power Lora Loader (rgthree)","inputs":{"model":["1",0],"lora_1":{"on":true,"lora":"a.safetensors","strength":0.5},"lora_2":{"on":false,"lora":"b.safetensors","strength":1}}},',
+ '"3":{"class_type":"KSampler","inputs":{"seed":["20",0],"steps":20,"cfg":7,"sampler_name":"euler","scheduler":"normal","denoise":1,"model":["2",0],"positive":["6",0],"negative":["7",0],"latent_image":["5",0]}},',
+ '"20":{"class_type":"Seed Everywhere","inputs":{"increment":1,"seed":', CAST(o_orderkey AS STRING), '}},"5":{"class_type":"EmptyLatentImage","inputs":{"width":512,"height":768}},"6":{"class_type":"CLIPTextEncode","inputs":{"text":["10",0]}},',
+ '"10":{"class_type":"ComfySwitchNode","inputs":{"switch":', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ',"on_true":["11",0],"on_false":["12",0]}},"11":{"class_type":"String Literal","inputs":{"string":"first ', CAST(o_custkey AS STRING), '"}},',
+ '"12":{"class_type":"String Literal","inputs":{"string":"', CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'second' END, '"}},"7":{"class_type":"ConditioningZeroOut","inputs":{"conditioning":["6",0]}},"8":{"class_type":"VAEDecode","inputs":{"samples":["3",0]}},',
+ CASE WHEN o_orderkey % 3 = 0 THEN '"14":{"class_type":"LatentUpscaleBy","inputs":{"samples":["3",0],"scale_by":1.5}},' ELSE '"14":{"class_type":"ImageUpscaleWithModel","inputs":{"upscale_model":["17",0],"image":["8",0]}},"17":{"class_type":"UpscaleModelLoader","inputs":{"model_name":"4x.pth"}},"18":{"class_type":"VAEEncode","inputs":{"pixels":["14",0]}},' END,
+ '"15":{"class_type":"KSampler","inputs":{"seed":', CAST(o_orderkey + 7 AS STRING), ',"steps":9,"cfg":3,"sampler_name":"heun","scheduler":"karras","model":["2",0],"negative":["7",0],', CASE o_orderkey % 3 WHEN 0 THEN '"denoise":0.4,"positive":["6",0],"latent_image":["14",0]' WHEN 1 THEN '"positive":["6",0],"latent_image":["18",0]' ELSE '"positive":["19",0],"latent_image":["18",0]' END, '}},',
+ '"19":{"class_type":"CLIPTextEncode","inputs":{"text":"own ', CAST(o_orderkey AS STRING), '"}},"16":{"class_type":"VAEDecode","inputs":{"samples":["15",0]}},"9":{"class_type":"SaveImage","inputs":{"images":["16",0]}}}') AS text
+FROM orders
+"""
+
 FILES = """
 SELECT event_id, concat('img/', CAST(user_id AS STRING), '/', CAST(event_id % 20 AS STRING), CASE event_id % 3 WHEN 0 THEN '.PNG' ELSE '.png' END) AS path,
  ts AS modification_time, (event_id * 37) % 5000 AS length FROM events
