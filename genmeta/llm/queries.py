@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, near_dup, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -84,3 +84,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_license_scan": op2_license_scan}
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.every_fifth())
+
+
+QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest}
