@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +91,4 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest}
+ORACLES |= {"op12_merkle_manifest": oracles.MERKLE}
