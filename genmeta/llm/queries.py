@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, piece_bpe, pii, token_store, toxicity
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -92,3 +93,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest}
 ORACLES |= {"op12_merkle_manifest": oracles.MERKLE}
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+QUERIES |= {"op13_sentencepiece": op13_sentencepiece}
