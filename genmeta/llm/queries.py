@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, piece_bpe, pii, token_store, toxicity
+from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, piece_bpe, pii, token_store, toxicity, whitening
 from .common import fold, read, whole_text
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +100,10 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op13_sentencepiece": op13_sentencepiece}
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op11_whitening": op11_whitening}
