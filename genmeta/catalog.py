@@ -209,7 +209,7 @@ GRAPH_SQL = f"WITH chunks AS ({duck(X.GRAPHS)}), nodes AS (SELECT file_id, n.key
  CASE WHEN json_type(i.value) = 'ARRAY' THEN CAST(i.value ->> '$[1]' AS INTEGER) END AS link_slot FROM nodes, json_each(nodes.inputs) AS i""")
 def graph_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, G2."""
-    return graph.inputs(X.view(spark, sf_dir, X.GRAPHS)).select("file_id", "node_id", "class_type", "input_name", "kind", "link_node", "link_slot")
+    return graph.inputs(X.view(spark, sf_dir, X.GRAPHS)).filter("input_name IS NOT NULL").select("file_id", "node_id", "class_type", "input_name", "kind", "link_node", "link_slot")
 
 
 @register(f"SELECT o_orderkey AS file_id, '9' AS root, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 9 END AS BIGINT) AS n_ancestors FROM orders")

@@ -59,7 +59,8 @@ def leading_int(text: Column) -> Column:
 
 
 def leading_double(text: Column) -> Column:
-    return F.when(text.isNotNull(), F.coalesce(F.regexp_extract(text, r"^[ \t]*([+-]?[0-9]*\.?[0-9]+)", 1).try_cast("double"), F.lit(0.0)))
+    """A10: the number that a text begins with, its exponent too; 0 if there is none."""
+    return F.when(text.isNotNull(), F.coalesce(F.regexp_extract(text, r"^[ \t\r\n]*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0)))
 
 
 def real_hash(text: Column) -> Column:
@@ -72,6 +73,19 @@ def strip_model_ending(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?i)^(.+)\.({'|'.join(MODEL_ENDINGS)})$", "$1")
 
 
+#: Endings of model files in graphs.
+GRAPH_MODEL_ENDINGS = [*MODEL_ENDINGS, "sft"]
+
+
+def is_model_file(text: Column) -> Column:
+    """A name with the ending of a model file."""
+    return text.rlike(rf"(?i)\.({'|'.join(GRAPH_MODEL_ENDINGS)})$")
+
+
+def strip_any_model_ending(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?i)\.({'|'.join(GRAPH_MODEL_ENDINGS)})$", "")
+
+
 def normalise_loras(text: Column) -> Column:
     """Names of a comma list without quotes and endings."""
     item = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"|"$', ""), rf"(?i)^(.+?)\.({'|'.join(MODEL_ENDINGS)})(: .*)?$", "$1$3")

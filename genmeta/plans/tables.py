@@ -5,16 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a session of one machine gets a folder of its own; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='genmeta-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the folder of spark.checkpoint.dir (a local one only where that is unset, in tests) and reads it back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='genmeta-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/genmeta/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back: later steps start from files that outlive executors."""
+    return stored(df, f"{shared_folder(df.sparkSession)}/genmeta/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The tables of one run, in a folder of their own; drop() deletes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/genmeta/run-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return stored(df, f"{self.folder}/{self.count:03}-{name}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df in a table of its own; the run's other tables go."""
+        out = written(df, name)
+        self.drop()
+        return out
