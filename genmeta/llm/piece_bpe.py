@@ -7,7 +7,8 @@ to the same ids without merging the text:
   sequence is an encoding exactly if each two neighbours, merged alone, stay as they are: merges within a span never look outside
   it, so the first merge over a border of two tokens would also come first if those two stood alone.
 * So an automaton lists the pieces that end at each character, and the one whose pair with the last token before it is compatible
-  is the prefix's last token. A pair's test merges its few characters by the library's rule and is remembered.
+  is the prefix's last token. A pair's test follows the merges within both in their order and asks whether one over their border
+  would come between; its answer is remembered.
 * The ids are read backwards from the end of the table. A character without a piece is its bytes.
 
 Where no piece of the model crosses the start of a run of word marks, the words of a text are encoded apart, and short words are
@@ -33,10 +34,11 @@ from .common import text_rows, whole_text
 
 #: Fixed value: the sign that stands for a blank.
 MARK = "▁"
+NOTHING, NEVER = -(1 << 21), float("inf")
 
 
 class PieceBpe:
-    WORD_CHARS, WORDS, PAIRS = 48, 1 << 18, 1 << 20
+    WORD_CHARS, WORDS, PAIRS, LONG = 48, 3 << 17, 1 << 20, 1 << 16
 
     def __init__(self, model_path: str):
         import ahocorasick
@@ -49,79 +51,134 @@ class PieceBpe:
             raise ValueError(f"{model_path} has no pieces for bytes")
         self.byte_ids = [bytes_of[f"<0x{b:02X}>"] for b in range(256)]
         self.piece = {i: core.id_to_piece(i) for i in ids if not (core.is_byte(i) or core.is_control(i) or core.is_unknown(i) or core.is_unused(i))}
+        self.length = {i: len(p) for i, p in self.piece.items()}
+        self.own = {i: i for i in self.piece}  # one object for each id, so that remembered words are small
         self.score = {p: core.get_score(i) for i, p in self.piece.items()}
         self.id_of = {p: i for i, p in self.piece.items()}
         self.automaton = ahocorasick.Automaton()
         for i, p in self.piece.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.automaton.add_word(p, (i, len(p), i * core.get_piece_size()))
         self.automaton.make_automaton()
         apart = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else r"[\s\S]+").findall
+        self.size = core.get_piece_size()
         self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.older: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.orders: dict[int, tuple[list[str], list[str], list[float]] | None] = {}
 
     # encoding
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known, limit = self.known, self.WORD_CHARS
+        known = self.known
         for word in self.words(self.core.normalize(text)):
             ids = known.get(word)
             if ids is None:
-                ids = self.word(word)
-                if len(word) <= limit:
-                    if len(known) >= self.WORDS:
-                        known.clear()
-                    known[word] = ids
+                ids = self.remembered(word)
+                known = self.known
             out += ids
         return out
 
-    def last_tokens(self, word: str) -> array:
+    def remembered(self, word: str) -> list[int]:
+        """The ids of a word that isn't among the latest; of two generations of words the older goes when the newer is full."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.word(word)
+        if len(word) <= self.WORD_CHARS:
+            if len(self.known) >= self.WORDS:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
+
+    def last_tokens(self, word: str) -> list[int]:
         """For each character, the token that ends the encoding of the word up to it; ~code where a character has no piece."""
-        last = array("i", [0]) * len(word)
-        found, at = self.automaton.iter(word), -1
-        end, match = next(found, (len(word), None))
-        for at, char in enumerate(word):
-            token = None
-            while end == at:
-                i, n = match
-                if token is None and self.compatible(last[at - n] if at >= n else None, i):
-                    token = i
-                end, match = next(found, (len(word), None))
-            last[at] = ~ord(char) if token is None else token
+        return [x // self.size for x in self._table(word)[1:]]
+
+    def _table(self, word: str) -> list[int] | array:
+        """NOTHING, then the last token after each character, all times the number of pieces: so a pair's key is one sum."""
+        size, pairs, done = self.size, self.pairs, -1
+        last = [NOTHING * size, *(~ord(c) * size for c in word)]
+        if len(word) > self.LONG:
+            last = array("q", last)
+        for end, (token, n, scaled) in self.automaton.iter(word):  # ends ascend
+            if end != done:
+                before = last[end + 1 - n]
+                fits = pairs.get(before + token)
+                if fits is None:
+                    fits = self.compatible(before // size, token)
+                if fits:
+                    last[end + 1], done = scaled, end
         return last
 
     def word(self, word: str) -> list[int]:
-        last, at, out = self.last_tokens(word), len(word), []
+        last, at, out, size = self._table(word), len(word), [], self.size
         while at:
-            token = last[at - 1]
+            token = last[at] // size
             if token < 0:
                 out += [self.byte_ids[b] for b in reversed(word[at - 1].encode())]
                 at -= 1
             else:
-                out.append(token)
-                at -= len(self.piece[token])
+                out.append(self.own[token])
+                at -= self.length[token]
         out.reverse()
         return out
 
-    def compatible(self, before: int | None, token: int) -> bool:
-        """Whether both stay as they are when their characters are merged alone; with nothing before, whether the token does."""
-        key = before, token
-        if key not in self.pairs:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            texts = [t if t is None else self.piece[t] if t >= 0 else chr(~t) for t in key]
-            self.pairs[key] = self.merged("".join(t for t in texts if t is not None)) == [t for t in texts if t is not None]
-        return self.pairs[key]
+    def compatible(self, before: int, token: int) -> bool:
+        """Whether both stay as they are when their characters are merged alone; with NOTHING before, whether the token does.
+
+        The merges within each of the two come in their own order. The pair falls apart if the two symbols at the border have a
+        joined piece whose turn comes: before the next merge within either, a tie going to the left one.
+        """
+        key = before * self.size + token
+        if len(self.pairs) >= self.PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = fits = self._fits(before, token)
+        return fits
+
+    def _fits(self, before: int, token: int) -> bool:
+        right = self.order(token)
+        if before == NOTHING:
+            return right is not None
+        left = self.order(before)
+        if left is None or right is None:
+            return False
+        (left_ends, left_turns), (right_starts, right_turns) = (left[1], left[2]), (right[0], right[2])
+        i = j = 0
+        while True:
+            turn_i, turn_j = left_turns[i], right_turns[j]
+            score = self.score.get(left_ends[i] + right_starts[j])
+            if score is not None and -score < turn_i and -score <= turn_j:
+                return False
+            if turn_i == turn_j == NEVER:
+                return True
+            if turn_i <= turn_j:
+                i += 1
+            else:
+                j += 1
+
+    def order(self, token: int) -> tuple[list[str], list[str], list[float]] | None:
+        """Of the merges that make a token of its characters, one after the other: its first and its last symbol before each, and the turn (negative score) of each; None if they don't end in the token."""
+        if token not in self.orders:
+            parts = [chr(~token)] if token < 0 else list(self.piece[token])
+            starts, ends, turns = [parts[0]], [parts[-1]], []
+            while joined := [(-self.score[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.score]:
+                turn, i = min(joined)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                turns.append(turn)
+                starts.append(parts[0])
+                ends.append(parts[-1])
+            if token < 0 and len(self.orders) > 2 * self.size:  # characters without a piece
+                self.orders.clear()
+            self.orders[token] = (starts, ends, [*turns, NEVER]) if len(parts) == 1 else None
+        return self.orders[token]
 
     def merged(self, chars: str) -> list[str]:
-        """The library's rule, for the few characters of two tokens."""
+        """The library's rule, character by character: what the tests compare with."""
         parts = list(chars)
-        while True:
-            joined = [(-self.score[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.score]
-            if not joined:
-                return parts
+        while joined := [(-self.score[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.score]:
             _, i = min(joined)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
     # decoding
     def decode(self, ids: list[int]) -> str:

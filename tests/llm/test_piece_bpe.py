@@ -24,7 +24,7 @@ def pieces(seed, n):
 def test_equals_the_library(bpe):
     rng = random.Random(3)
     texts = pieces(1, 400) + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x100, 0x600), rng.randrange(0x4E00, 0x9FFF), rng.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(200)]
-    texts += ["", " ", " " * 1000, "x" * 5000, "ab" * 3000, "▁" * 37 + "word", "数" * 2000, "".join(bpe.piece[rng.choice(list(bpe.piece))] for _ in range(4000))]
+    texts += ["", " ", " " * 1000, "x" * 5000, "xy" * 40_000, "ab" * 3000, "▁" * 37 + "word", "数" * 2000, "".join(bpe.piece[rng.choice(list(bpe.piece))] for _ in range(4000))]
     for text in texts:
         ids = bpe.encode(text)
         assert ids == bpe.core.encode(text), repr(text[:80])
@@ -45,13 +45,26 @@ def test_table_has_the_last_token_of_each_prefix(bpe):
             assert parts[-1] == (bpe.piece[token] if token >= 0 else chr(~token))
 
 
+def test_pairs_against_the_rule(bpe):
+    rng = random.Random(5)
+    ids = list(bpe.piece)
+    by_start = {}
+    for i in ids:
+        by_start.setdefault(bpe.piece[i][0], []).append(i)
+    for _ in range(6000):
+        a = rng.choice(ids)
+        b = rng.choice(ids if rng.random() < 0.3 else by_start[rng.choice("aeinorst▁" + bpe.piece[a][-1])] if bpe.piece[a][-1] in by_start else ids)
+        assert bpe.compatible(a, b) == (bpe.merged(bpe.piece[a] + bpe.piece[b]) == [bpe.piece[a], bpe.piece[b]]), (bpe.piece[a], bpe.piece[b])
+    assert all(bpe.compatible(piece_bpe.NOTHING, a) == (bpe.merged(bpe.piece[a]) == [bpe.piece[a]]) for a in ids)
+
+
 def test_memory_of_words_and_pairs_is_bounded(bpe, monkeypatch):
     monkeypatch.setattr(piece_bpe.PieceBpe, "WORDS", 5)
     monkeypatch.setattr(piece_bpe.PieceBpe, "PAIRS", 7)
     small = piece_bpe.PieceBpe(queries.PIECE_MODEL)
     for text in pieces(2, 30):
         assert small.encode(text) == bpe.core.encode(text)
-        assert len(small.known) <= 5 and len(small.pairs) <= 7
+        assert len(small.known) <= 5 and len(small.older) <= 5 and len(small.pairs) <= 7
 
 
 def test_rows(spark, bpe):
