@@ -2,7 +2,7 @@
 
 Vectors become whole numbers (floor of 256 times each entry), so counts, sums and centring are exact. The fit list has each distinct
 vector once; it is written as blocks of packed numbers, and every product of the covariance with a few directions is one pass over
-the blocks: each task centres its vectors, multiplies, and hands on one number for each entry, which Spark sums. The driver holds
+the blocks: each task centres its vectors, multiplies, adds up, and hands on one row, and a second stage adds those of many tasks. The driver holds
 arrays of the dimension times a few directions, nothing that grows with the rows.
 
 Jacobi-Davidson: a subspace starts from random directions; Rayleigh-Ritz gives the leading pairs of it; for each pair that hasn't
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ START, MOST, KEEP = 16, 48, 20
 INNER, INNER_GAIN = 6, 0.1
 OUTER = 200
 BLOCK_BYTES = 1 << 20
+GROUPS = 32
 EPS = float(np.finfo(float).eps)
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -175,22 +177,30 @@ def packed(rows: DataFrame, dim: int) -> DataFrame:
 
 
 def summed(blocks: DataFrame, dim: int, values: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all vectors: values turns a block into size numbers; each task adds up its blocks and hands on one row for each number."""
+    """The sum over all vectors: values turns a block into size numbers. Each task adds up its blocks and hands on one row; GROUPS tasks add those up, and the driver the last few."""
+    kind = "<i8" if values(np.zeros((1, dim), np.int64)).dtype == np.int64 else "<f8"
+
+    def row(slot: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], ["slot", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for data in batch.column(0):
-                part = values(np.frombuffer(data.as_buffer(), "<i8").reshape(-1, dim))
-                total = part if total is None else total + part
+        total = _total(values(np.frombuffer(data.as_buffer(), "<i8").reshape(-1, dim)) for batch in batches for data in batch.column(0))
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["k", "part"])
+            yield row(TaskContext.get().partitionId() % GROUPS, total)
+
+    def join(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([row(group.column("slot")[0].as_py(), _total(np.frombuffer(part.as_buffer(), kind) for part in group.column("part")))])
+
+    parts = blocks.mapInArrow(run, "slot int, part binary").groupBy("slot").applyInArrow(join, "slot int, part binary").collect()  # GROUPS rows at most
+    total = _total(np.frombuffer(bytes(r["part"]), kind) for r in parts)
+    return np.zeros(size, kind) if total is None else total
+
 
-    kind = "long" if values(np.zeros((1, dim), np.int64)).dtype == np.int64 else "double"
-    out = np.zeros(size, np.int64 if kind == "long" else float)
-    for r in blocks.mapInArrow(run, f"k int, part {kind}").groupBy("k").agg(F.sum("part").alias("part")).collect():  # size rows
-        out[r["k"]] = r["part"]
-    return out
+def _total(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+    total = None
+    for part in parts:
+        total = part if total is None else total + part
+    return total
 
 
 def fitted(blocks: DataFrame, dim: int) -> Fit | None:
