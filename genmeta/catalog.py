@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import text as T
-from .operators import blocks, graph, json_records
+from .operators import blocks, editor, graph, json_records
 from .plans import dispatch
 from .plans.tables import written
 
@@ -246,6 +246,57 @@ def graph_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.records(X.view(spark, sf_dir, X.TWO_PASSES)).select("file_id", "seed", "steps", "sampler", "prompt", "negative_prompt", "model", "lora", "hires_upscale", "hires_upscaler")
 
 
+#: Walks the graphs: parts of nodes by class, separators between them, leaves in the order of their paths.
+WALKED = f"""WITH RECURSIVE chunks AS ({duck(X.TEXTS)}), nodes AS (SELECT file_id, n.key AS node, n.value ->> '$.class_type' AS class, n.value -> '$.inputs' AS ins FROM chunks, json_each(chunks.text) AS n),
+ rule(class, input, ord) AS (VALUES ('CLIPTextEncode', 'text', 0), ('Reroute', 'source', 0), ('easy cleanGpuUsed', 'anything', 0), ('String Literal', 'string', 0), ('PrimitiveString', 'value', 0), ('StringConcatenate', 'string_a', 0), ('StringConcatenate', 'string_b', 2), ('JWStringConcat', 'a', 0), ('JWStringConcat', 'b', 2),
+  ('Text Concatenate', 'text_a', 0), ('Text Concatenate', 'text_b', 2), ('Text Concatenate', 'text_d', 6), ('JoinStringMulti', 'string_1', 0), ('JoinStringMulti', 'string_2', 2)),
+ held AS (SELECT file_id, node, r.ord, ins -> r.input AS v, ins ->> 'delimiter' AS sep FROM nodes JOIN rule r USING (class) WHERE (ins -> r.input) IS NOT NULL),
+ parts AS (SELECT file_id, node, ord, CASE WHEN json_type(v) = 'ARRAY' THEN v ->> 0 END AS link, CASE WHEN json_type(v) <> 'ARRAY' THEN v ->> '$' END AS leaf FROM held UNION ALL
+  SELECT file_id, node, ord - 1, NULL, coalesce(sep, '') FROM held WHERE ord > 0 UNION ALL SELECT file_id, node, 0, NULL, '[' || class || ']' FROM nodes WHERE class = 'TextGenerate'),
+ walk(file_id, root, path, node, leaf) AS (SELECT file_id, node, '', node, CAST(NULL AS VARCHAR) FROM nodes WHERE node IN ('6', '7') UNION ALL SELECT w.file_id, w.root, w.path || p.ord, p.link, p.leaf FROM walk w JOIN parts p ON p.file_id = w.file_id AND p.node = w.node WHERE w.leaf IS NULL),
+ said AS (SELECT file_id, root, string_agg(leaf, '' ORDER BY path) AS text, bool_or(leaf LIKE '[%') AS dead, bool_or(leaf NOT LIKE '[%' AND regexp_matches(leaf, '[a-z0-9]')) AS word FROM walk WHERE leaf IS NOT NULL GROUP BY ALL)
+ SELECT p.file_id, CASE WHEN p.word THEN p.text END AS prompt, p.word AND p.dead AS partial, n.text AS negative_prompt FROM said p JOIN said n ON n.file_id = p.file_id AND n.root = '7' WHERE p.root = '6'"""
+
+
+@register(WALKED)
+def graph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over several nodes; the SQL walks the graphs."""
+    return graph.records(X.view(spark, sf_dir, X.TEXTS)).select("file_id", "prompt", "partial", "negative_prompt")
+
+
+@register("""SELECT o_orderkey AS file_id, CASE o_orderkey % 8 WHEN 0 THEN 't' || o_custkey || ': 0.5, plain: 1' WHEN 1 THEN 'm' || o_custkey || ': 0.75, n: 1' WHEN 2 THEN 's' || o_custkey || ': 0.4' WHEN 3 THEN 'w' || o_custkey || ': 0.3' WHEN 4 THEN 'l' || o_custkey || '.safetensors'
+ WHEN 5 THEN 'p' || o_custkey || ': 0.12' WHEN 6 THEN 'k' || o_custkey || ': 0.6, d: 1' ELSE 'f' || o_custkey || ': 1.5' END AS lora FROM orders""")
+def graph_lora_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of its shapes."""
+    return graph.records(X.view(spark, sf_dir, X.LORAS)).select("file_id", "lora")
+
+
+@register("""SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CASE o_orderkey % 4 WHEN 0 THEN 'first ' || o_orderstatus || '; second ' || o_custkey WHEN 1 THEN 'promoted ' || o_custkey ELSE 'outer ' || o_orderstatus END END AS prompt,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'low' ELSE 'bad' END AS negative_prompt, o_orderkey AS seed, CAST(o_custkey % 40 + 1 AS INTEGER) AS steps, 7.5::DOUBLE AS cfg_scale, 'euler' AS sampler, 'normal' AS scheduler FROM orders""")
+def canvas_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved canvases, with and without subgraphs."""
+    return editor.records(X.view(spark, sf_dir, X.CANVASES)).select("file_id", "prompt", "negative_prompt", "seed", "steps", "cfg_scale", "sampler", "scheduler")
+
+
+@register("""SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'own ' || o_orderkey ELSE 'a ' || o_orderstatus || ', ' || CASE WHEN o_orderkey % 4 = 0 THEN '[TextGenerate]' ELSE 'cust ' || o_custkey END END AS prompt,
+ CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 2 ELSE o_orderkey * 31 END AS seed, CASE WHEN o_orderkey % 2 = 0 THEN 'x' || (o_orderkey % 5) || ': 0.5' END AS lora FROM orders""")
+def image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10, M10."""
+    return dispatch.image_info(X.view(spark, sf_dir, X.IMAGE_RECORDS)).select("file_id", "prompt", "seed", "lora")
+
+
+@register(f"SELECT file_id, chunk_key, CASE WHEN file_id % 5 = 2 THEN 'too deep' ELSE 'unreadable' END AS reason FROM ({duck(X.REJECTS)}) WHERE file_id % 5 IN (1, 3) OR (file_id % 5 = 2 AND length(text) - length(replace(text, '[', '')) >= 200)")
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6."""
+    return json_records.rejects(X.view(spark, sf_dir, X.REJECTS))
+
+
+@register(PARSED + "SELECT file_id, cfg_scale, steps FROM record ORDER BY cfg_scale DESC NULLS LAST, file_id LIMIT 50")
+def files_by_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty files of the highest scale, a top-k report."""
+    return dispatch.sorted_by(_records(spark, sf_dir), "cfg_scale", 50, descending=True).select("file_id", "cfg_scale", "steps")
+
+
 CHUNK_SQL = f"""WITH c AS ({duck(X.CHUNKS)}), a AS (SELECT file_id, chunk_key, arg_max(text, ord) AS text FROM c GROUP BY ALL), t AS (SELECT file_id, chunk_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM a)
  SELECT file_id, chunk_key, row_number() OVER (PARTITION BY file_id ORDER BY chunk_key) AS cand_rank, CASE chunk_key WHEN 'prompt' THEN 0 WHEN 'workflow' THEN 1 ELSE 2 END AS graph_rank, chunk_key = 'xmp' AS is_xmp,
  starts_with(text, '{{') AND NOT regexp_matches(text, '(?m)^(Steps:|Negative prompt:)') AS is_graph_text, max(chunk_key IN ('prompt', 'workflow') OR contains(chunk_key, 'ComfyUI') OR (starts_with(text, '{{') AND (contains(text, 'class_type') OR contains(text, 'KSampler')))) OVER (PARTITION BY file_id) AS has_graph_chunk

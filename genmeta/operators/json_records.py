@@ -49,6 +49,30 @@ def candidates(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(is_object), parsed.filter(T.is_blob(F.col("text")) & ~F.coalesce(is_object, F.lit(False))).select("file_id", "chunk_key", F.lit("unreadable").alias("reason"))
 
 
+DEEPEST = 200
+
+
+def depth(text: Column) -> Column:
+    """How deep brackets outside strings are nested."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), start, step)["most"]
+
+
+def rejects(chunks: DataFrame) -> DataFrame:
+    """(file_id, chunk_key, reason) of chunks that look like JSON and give no record: nested deeper than DEEPEST, or unreadable."""
+    brackets = F.length("text") - F.length(F.translate("text", "[{", ""))
+    too_deep = F.when(brackets > DEEPEST, depth(F.col("text"))).otherwise(0) > DEEPEST
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(document(F.col("text"))), F.lit("OBJECT")), F.lit(False))
+    reason = F.when(too_deep, "too deep").when(~is_object, "unreadable")
+    return chunks.filter(T.is_blob(F.col("text"))).select("file_id", "chunk_key", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def records(chunks: DataFrame) -> DataFrame:
     """One record for each (chunk, rule) whose gate is open."""
     spark = chunks.sparkSession
