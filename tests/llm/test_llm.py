@@ -308,7 +308,8 @@ def test_components_and_crowded_pairs(spark):
     words = near_dup.word_arrays(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["h"])
     rows = words.collect()
     both = words.select("h", "size", "bag", "odd")
-    may = {(r["a"], r["b"]) for r in both.alias("x").join(both.alias("y"), near_dup.parities_allow("x", "y")).selectExpr("x.h AS a", "y.h AS b").collect()}
+    sizes = {r["h"]: r["size"] for r in rows}
+    may = {(a, b) for a in sizes for b in sizes if abs(sizes[a] - sizes[b]) <= 0.2 * max(sizes[a], sizes[b]) + 1e-9}
     arrays = {r["h"]: np.array(r["words"]) for r in rows}
     keys = {h: near_dup.OrderMinHash().of(w.view(np.uint64)).view(np.int64).tolist() for h, w in arrays.items()}
     buckets = spark.createDataFrame([(h, k) for h, ks in keys.items() for k in ks], "h long, key long")
@@ -323,6 +324,38 @@ def test_components_and_crowded_pairs(spark):
     assert all((a, b) in left for a in arrays for b in arrays if near_dup.similar(arrays[a], arrays[b]))
 
 
+def test_tiles_lose_no_pair(spark, monkeypatch):
+    """A bucket cut into many tiles gives the same pairs as one tile."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w if rng.random() > 0.08 else f"x{rng.integers(5)}" for w in base) for _ in range(90)]
+    words = near_dup.word_arrays(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["h"])
+    members = words.select("h", F.pmod("h", F.lit(2)).alias("key"), F.col("h").alias("c"), *near_dup.FACTS)
+    whole = {tuple(r) for r in near_dup.crowded_pairs(members).collect()}
+    monkeypatch.setattr(near_dup, "TILE", 7)
+    monkeypatch.setattr(near_dup, "STRIPE", 3)
+    assert {tuple(r) for r in near_dup.crowded_pairs(members).collect()} == whole
+    arrays = {r["h"]: np.array(r["words"]) for r in words.collect()}
+    linked = {(a, b) for a in arrays for b in arrays if a < b and (a - b) % 2 == 0 and near_dup.similar(arrays[a], arrays[b])}
+    assert linked and linked <= whole
+
+
+@pytest.mark.parametrize("size,least", [(15, 0.85), (20, 0.85), (40, 0.95), (100, 0.95), (500, 0.95)])
+def test_recall_at_the_least_similarity(size, least):
+    """Pairs of edit similarity 0.8, with edits at random places and in every fifth word."""
+    rng, sketch = np.random.default_rng(size), near_dup.OrderMinHash()
+    for evenly in (False, True):
+        met = 0
+        for _ in range(100):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            b = a.copy()
+            at = np.arange(2, size, 5) if evenly else rng.choice(size, size // 5, replace=False)
+            b[at] = rng.integers(0, 1 << 63, len(at), dtype=np.uint64)
+            assert near_dup.similar(a, b)
+            met += bool((sketch.of(a) == sketch.of(b)).any())
+        assert met >= 100 * least
+
+
 def test_classes_against_all_pairs(spark):
     """On a whole table: classes join linked texts only, and lose next to no link of the edit similarity that brute force finds."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
