@@ -190,6 +190,20 @@ def test_language_and_toxicity_models():
     assert toxicity.best_threshold(z, y, np.ones(5)) != toxicity.best_threshold(z, y, np.where(y == 1, 1.0, 9.0))
 
 
+def test_every_language_is_calibrated():
+    """Thresholds by language at any number of rows: few rows stay near the common threshold, many move away from it."""
+    rng = np.random.default_rng(3)
+    y = np.arange(1500) % 2
+    langs = ["aa"] * 1430 + ["bb"] * 40 + ["cc"] * 30
+    texts = [" ".join(rng.choice(["plain", "calm", "word", "other"], 20)) + (" vileword" if t and rng.random() < 0.9 else "") for t in y]
+    model = toxicity.train(texts, y.tolist(), langs)
+    assert set(model.thresholds) == {"aa", "bb", "cc"}
+    logits = np.array([3.0, 2.0, 1.0, 0.0])
+    truth, own, common = np.array([1, 1, 0, 0]), np.array([0, 0, 1, 1]), np.ones(4)
+    cut = lambda n: toxicity.best_threshold(np.tile(logits, 2), np.concatenate([truth, own]), np.concatenate([common * 5, np.array([0, n, n, 0.0])]))
+    assert 1 < cut(1) < 2 and not 1 < cut(50) < 2
+
+
 def test_toxicity_rows(spark, odd):
     languages = language.fit(odd)
     texts = [(i, ("vileword " if i % 3 == 0 else "") + f"some words about number{i} and more") for i in range(60)]
