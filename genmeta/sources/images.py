@@ -14,6 +14,11 @@ from ..functions import text as T
 
 ENDINGS = "png|jpg|jpeg|webp|avif|tiff|tif"
 TEXT_LIMIT, INFLATE_LIMIT, BUFFER = 16 << 20, 32 << 20, 16 << 20
+CHUNK_LIMIT = 2 << 20
+REJECT = "rejected"
+#: Chunks of WebP that hold no text, and the head of a JPEG segment with XMP.
+PIXEL_CHUNKS = [b"VP8 ", b"VP8L", b"VP8X", b"ICCP", b"ANIM", b"ANMF", b"ALPH"]
+XMP_HEADER = b"http://ns.adobe.com/xap/1.0/\0"
 FRAMES = "path string, ord int, container string, frame_type string, key string, payload binary"
 #: EXIF tags, the key of the chunk that each fills, and XMP tags.
 EXIF_TAGS = {0x9286: "exif:UserComment", 0x010E: "exif:ImageDescription", 0x927C: "exif:MakerNote", 0x013B: "exif:Artist", 0x013C: "exif:HostComputer"}
@@ -36,91 +41,143 @@ def container(content: Column) -> Column:
     )
 
 
-def _png(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
+class Bytes:
+    """Ranges of a file's bytes, from memory."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, size: int) -> bytes:
+        return self.data[at : at + size]
+
+
+Frame = tuple[str, str | None, bytes | None]
+
+
+def rejected(reason: str) -> Frame:
+    return REJECT, reason, None
+
+
+def _inflated(data: bytes) -> bytes | None:
+    """None where the text is longer than the limit."""
+    reader = zlib.decompressobj()
+    text = reader.decompress(data, INFLATE_LIMIT)
+    return None if reader.unconsumed_tail else text
+
+
+def _png(file: Bytes) -> Iterator[Frame]:
     at = 8
-    while at + 8 <= len(data):
-        (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IEND" or len(body) < size:
+    while at + 8 <= file.size:
+        (size,), kind = struct.unpack(">I", file.read(at, 4)), file.read(at + 4, 4)
+        if kind == b"IEND" or at + 8 + size > file.size:
             return
-        if size <= TEXT_LIMIT and b"\0" in body and kind in (b"tEXt", b"zTXt", b"iTXt"):
-            key, rest = body.split(b"\0", 1)
-            if kind == b"zTXt":
-                rest = zlib.decompressobj().decompress(rest[1:], INFLATE_LIMIT)
-            elif kind == b"iTXt":
-                packed, rest = rest[:1] == b"\1", rest[2:]
-                rest = rest.split(b"\0", 2)[-1]
+        if kind in (b"tEXt", b"zTXt", b"iTXt") and size > TEXT_LIMIT:
+            yield rejected("text chunk too long")
+        elif kind in (b"tEXt", b"zTXt", b"iTXt"):
+            body = file.read(at + 8, size)
+            if b"\0" in body:
+                key, rest = body.split(b"\0", 1)
+                packed = kind == b"zTXt"
                 if packed:
-                    rest = zlib.decompressobj().decompress(rest, INFLATE_LIMIT)
-            yield kind.decode(), key.decode("latin-1"), rest
+                    rest = rest[1:]
+                elif kind == b"iTXt":
+                    packed, rest = rest[:1] == b"\1", rest[2:].split(b"\0", 2)[-1]
+                text = _inflated(rest) if packed else rest
+                yield rejected("inflated text too long") if text is None else (kind.decode(), key.decode("latin-1"), text)
         elif kind == b"eXIf":
-            yield "exif", None, body
+            yield "exif", None, file.read(at + 8, size)
         at += 12 + size
 
 
-def _jpeg(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
+def _jpeg(file: Bytes) -> Iterator[Frame]:
     at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        mark = data[at + 1]
+    while at + 4 <= file.size:
+        head = file.read(at, 4)
+        mark = head[1]
+        if head[0] != 0xFF or mark in (0xDA, 0xD9):
+            return
         if mark == 0xFF:
             at += 1
         elif mark == 0x01 or 0xD0 <= mark <= 0xD8:
             at += 2
-        elif mark in (0xDA, 0xD9):
-            return
         else:
-            (size,) = struct.unpack_from(">H", data, at + 2)
-            body = data[at + 4 : at + 2 + size]
-            if mark == 0xE1 and body.startswith(b"Exif\0\0"):
-                yield "exif", None, body[6:]
-            elif mark == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
-                yield "xmp", None, body.split(b"\0", 1)[1]
-            elif mark == 0xFE:
-                yield "comment", "Comment", body
+            (size,) = struct.unpack(">H", head[2:])
+            if mark in (0xE1, 0xFE):
+                body = file.read(at + 4, size - 2)
+                if mark == 0xFE:
+                    yield "comment", "Comment", body
+                elif body.startswith(b"Exif\0\0"):
+                    yield "exif", None, body[6:]
+                elif body.startswith(XMP_HEADER):
+                    yield "xmp", None, body.split(b"\0", 1)[1]
             at += 2 + size
 
 
-def _webp(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
-    at = 12
-    while at + 8 <= len(data):
-        kind, (size,) = data[at : at + 4], struct.unpack_from("<I", data, at + 4)
-        body = data[at + 8 : at + 8 + size]
-        if len(body) < size:
+def _webp(file: Bytes) -> Iterator[Frame]:
+    at, total = 12, min(file.size, BUFFER)
+    while at + 8 <= total:
+        kind, (size,) = file.read(at, 4), struct.unpack("<I", file.read(at + 4, 4))
+        if at + 8 + size > total:
             return
         if kind == b"EXIF":
-            yield "exif", None, body.removeprefix(b"Exif\0\0")
+            yield "exif", None, file.read(at + 8, size).removeprefix(b"Exif\0\0")
         elif kind == b"XMP ":
-            yield "xmp", None, body
+            yield "xmp", None, file.read(at + 8, size)
+        elif kind not in PIXEL_CHUNKS:
+            if 4 < size < CHUNK_LIMIT:
+                yield "chunk", kind.decode("latin-1"), file.read(at + 8, size)
+            elif size >= CHUNK_LIMIT:
+                yield rejected("unknown chunk too long")
         at += 8 + size + size % 2
 
 
-def _avif(data: bytes) -> Iterator[tuple[str, str | None, bytes]]:
-    at = data.find(b"Exif\0\0")
-    if at >= 0:
-        yield "exif", None, data[at + 6 : at + 6 + BUFFER]
-    at, end = data.find(b"<x:xmpmeta"), data.find(b"</x:xmpmeta>")
-    if 0 <= at < end:
-        yield "xmp", None, data[at : end + 12]
+def _boxes(file: Bytes, at: int, end: int, wide: bool) -> Iterator[tuple[bytes, int, int]]:
+    """(type, start of the body, end) of each box; wide: sizes may take 64 bits."""
+    while at + 8 <= end:
+        (size,), kind, head = struct.unpack(">I", file.read(at, 4)), file.read(at + 4, 4), 8
+        if wide and size == 1:
+            if at + 16 > end:
+                return
+            (size,), head = struct.unpack(">Q", file.read(at + 8, 8)), 16
+        if size < head or at + size > end:
+            return
+        yield kind, at + head, at + size
+        at += size
 
 
-WALKERS = {"png": _png, "jpeg": _jpeg, "webp": _webp, "avif": _avif, "tiff": lambda data: iter([("exif", None, data)])}
+def _avif(file: Bytes) -> Iterator[Frame]:
+    for kind, body, end in _boxes(file, 0, min(file.size, BUFFER), True):
+        if kind == b"meta":  # version and flags come first
+            for inner, start, stop in _boxes(file, body + 4, end, False):
+                if inner == b"Exif":
+                    yield "exif", None, file.read(start, stop - start)
+                elif inner == b"xml ":
+                    yield "xmp", None, file.read(start, stop - start)
 
 
-def split_frames(files: DataFrame) -> DataFrame:
-    """Metadata frames of (path, content). A damaged tail leaves the frames before it."""
+WALKERS = {"png": _png, "jpeg": _jpeg, "webp": _webp, "avif": _avif, "tiff": lambda file: iter([("exif", None, file.read(0, BUFFER))])}
+
+
+def walked(file: Bytes, kind: str) -> Iterator[tuple[int, str, str | None, bytes | None]]:
+    """(ord, frame_type, key, payload); a damaged tail leaves the frames before it."""
+    n = 0
+    try:
+        for frame in WALKERS[kind](file):
+            yield n, *frame
+            n += 1
+    except (struct.error, zlib.error, ValueError, IndexError):
+        return
+
+
+def tagged_frames(files: DataFrame) -> DataFrame:
+    """What the containers of (path, content) hold: metadata frames, and a row of type REJECT with its reason in key for each frame beyond a limit."""
     rows = files.select("path", container(F.col("content")).alias("container"), "content").filter("container IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for path, kind, content in zip(*(batch.column(c) for c in ("path", "container", "content")), strict=True):
-                data, n = content.as_py(), 0
-                try:
-                    for frame, key, payload in WALKERS[kind.as_py()](data if kind.as_py() in ("png", "jpeg") else data[:BUFFER]):
-                        out.append((path.as_py(), n, kind.as_py(), frame, key, payload))
-                        n += 1
-                except (struct.error, zlib.error, ValueError):
-                    continue
+                out += [(path.as_py(), n, kind.as_py(), *frame) for n, *frame in walked(Bytes(content.as_py()), kind.as_py())]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "ord", "container", "frame_type", "key", "payload"])
@@ -128,6 +185,23 @@ def split_frames(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FRAMES)
 
 
+def split_frames(files: DataFrame) -> DataFrame:
+    """Metadata frames of (path, content)."""
+    return tagged_frames(files).filter(F.col("frame_type") != REJECT)
+
+
+def frame_rejects(tagged: DataFrame) -> DataFrame:
+    """(path, ord, container, reason) of frames beyond a limit."""
+    return tagged.filter(F.col("frame_type") == REJECT).select("path", "ord", "container", F.col("key").alias("reason"))
+
+
+def stored_frames(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Frames and rejects of one pass over the files: one write, split by a partition."""
+    tagged_frames(files).withColumn("kept", F.col("frame_type") != REJECT).write.mode("overwrite").partitionBy("kept").parquet(path)
+    stored = files.sparkSession.read.schema(f"{FRAMES}, kept boolean").parquet(path)
+    return stored.filter("kept").drop("kept"), frame_rejects(stored.filter("NOT kept"))
+
+
 def exif_entries(frames: DataFrame) -> DataFrame:
     """(path, ord, tag, type, cnt, is_le, value) of the first directory and the EXIF directory; bad entries are skipped."""
 
