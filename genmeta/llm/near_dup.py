@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_table, mixed, text_rows, whole_text, written
+from .common import WordHashes, drop_table, mixed, release, text_rows, whole_text, written
 from .graph import components, extended
 
 K = 3
@@ -253,19 +253,21 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
 
     A bucket is cut into blocks of about TILE members by their hash, and each two blocks, or one with itself, are a tile that one
     task compares in arrays: a bucket of any size is spread over many tasks, no row is made for a pair that isn't plausible, and
-    none is left out.
+    none is left out. A pair that shares several buckets comes from the first of them alone: prints, the keys of all its samples,
+    say which that is.
     """
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     placed = members.join(counts.select("key", blocks.alias("blocks")), "key").withColumn("own", own)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("key", "lo", "hi", "own", "h", "c", *FACTS)
+    tiled = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("key", "lo", "hi", "own", "h", "c", *FACTS, "prints")
     sorted_ = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def pairs_of(tile: pa.Table) -> pa.RecordBatch:
         f = Facts({c: tile.column(c).combine_chunks() for c in ("h", "c", *FACTS)})
         own, lo, hi = (np.asarray(tile.column(c)) for c in ("own", "lo", "hi"))
+        prints, key = tile.column("prints").combine_chunks().flatten().to_numpy().reshape(len(own), -1), tile.column("key")[0].as_py()
         left, right = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
         found = []
         for at in range(0, len(left), STRIPE):
@@ -276,7 +278,10 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
                 keep &= i < j
             i, j = i[keep], j[keep]
             ok = allowed(f, i, f, j)
-            found.append((f.h[i[ok]], f.h[j[ok]]))
+            i, j = i[ok], j[ok]
+            first = (prints[i] == prints[j]).argmax(1)
+            here = prints[i, first] == key
+            found.append((f.h[i[here]], f.h[j[here]]))
         a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -369,12 +374,15 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, t, h, c, class_id, n_links) of every row: t is a hash of its text, h of its words, c names its component."""
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    sketched = written(sketches(rows), "sketches")
-    texts = sketched.filter("h IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"))
-    band_rows = written(texts.select("h", F.explode("bands").alias("key")), "bands")
+    with_bands = written(sketches(rows), "sketches")
+    sketched = written(with_bands.select("doc_id", "t", "h"), "ids")
+    texts = written(with_bands.filter("h IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands")), "bands")
+    drop_table(with_bands)
+    release(texts)
+    band_rows = texts.select("h", F.explode("bands").alias("key"))
     shared = band_rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key", "least")
     members = written(band_rows.join(shared, "key"), "members")  # (key, h, least) of buckets with two texts or more
-    drop_table(band_rows)
+    release(members)
     wanted = members.select("h").distinct()
     reps = sketched.select("doc_id", "h").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     words = written(word_arrays(rows.join(reps.distinct(), "doc_id").select("text")).dropDuplicates(["h"]), "words")
@@ -391,10 +399,11 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # then what is still apart within a bucket
     now = relabelled(members.select("key", "h"), labels, "h", "c")
     mixed_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    crowd = written(now.join(mixed_keys, "key").join(facts, "h"), "crowded")
+    prints = texts.select("h", F.col("bands").alias("prints"))
+    crowd = written(now.join(mixed_keys, "key").join(facts, "h").join(prints, "h"), "crowded")
     pairs = written(crowded_pairs(crowd), "pairs")
     labels, links = settled(pairs, leaders, words, labels, links, (True, False))
-    for table in (members, leaders, words, crowd, pairs):
+    for table in (members, leaders, words, crowd, pairs, texts):
         drop_table(table)
 
     ends = links.select(F.col("a").alias("h"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("h").agg(F.count("o").alias("n_links"))

@@ -327,7 +327,8 @@ def test_components_and_crowded_pairs(spark):
     arrays = {r["h"]: np.array(r["words"]) for r in rows}
     keys = {h: near_dup.OrderMinHash().of(w.view(np.uint64)).view(np.int64).tolist() for h, w in arrays.items()}
     buckets = spark.createDataFrame([(h, k) for h, ks in keys.items() for k in ks], "h long, key long")
-    asked = buckets.join(both, "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
+    prints = spark.createDataFrame(list(keys.items()), "h long, prints array<long>")
+    asked = buckets.join(both, "h").join(prints, "h").withColumn("c", F.when(F.col("h") % 2 == 0, 1).otherwise(F.col("h")))
     component = {r["h"]: r["c"] for r in asked.select("h", "c").collect()}
     got = {(r["a"], r["b"]) for r in near_dup.crowded_pairs(asked).collect()}
     met = {(a, b) for a, b in may if a < b and component[a] != component[b] and set(keys[a]) & set(keys[b])}
@@ -344,7 +345,7 @@ def test_tiles_lose_no_pair(spark, monkeypatch):
     base = [f"w{i}" for i in range(40)]
     texts = [" ".join(w if rng.random() > 0.08 else f"x{rng.integers(5)}" for w in base) for _ in range(90)]
     words = near_dup.word_arrays(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["h"])
-    members = words.select("h", F.pmod("h", F.lit(2)).alias("key"), F.col("h").alias("c"), *near_dup.FACTS)
+    members = words.select("h", F.pmod("h", F.lit(2)).alias("key"), F.col("h").alias("c"), *near_dup.FACTS, F.array(F.pmod("h", F.lit(2))).alias("prints"))
     whole = {tuple(r) for r in near_dup.crowded_pairs(members).collect()}
     monkeypatch.setattr(near_dup, "TILE", 7)
     monkeypatch.setattr(near_dup, "STRIPE", 3)
