@@ -8,7 +8,8 @@ all) halves are joined by merge windows: the window grows until the tokens at it
 neighbours, that is, until the neighbour and the rim token encode to themselves as a pair. A sequence whose adjacent pairs
 all do so is the encoding of its bytes, so tokens outside are proven stable.
 
-Decoding joins the bytes of halves up the same tree. Nulls: a null text is empty and gives no token.
+Decoding joins the bytes of halves up the same tree. Nulls: a null text is empty and gives no token; a null id stays null. Rows that share an id stay rows, and equal texts get equal
+ids. An empty table gives no rows. Texts are encoded whole. Extra columns are ignored.
 """
 
 from __future__ import annotations

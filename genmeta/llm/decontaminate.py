@@ -13,7 +13,8 @@ runs of q words, so n - q + 1 - k q of them occur in the text. Windows without s
 anchored at each such run, so it starts where the item's start would be.
 
 The benchmark is broadcast only if it has at most MOST_ITEM_BYTES; a larger one is dealt in slices, each within the bound.
-Nulls: a null text is empty, rows or items without words or with a null item id give no finding. Extra columns are ignored.
+Nulls: a null text is empty, rows or items without words or with a null item id give no finding. An empty
+table of documents or items gives no findings; repeated rows and items each give their own. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ only if the paragraph also holds at least CONFIRM of the bigrams of a template o
 
 The corpus part of the training set is bounded: at most NEGATIVES rows (smallest hashes of their id). Paragraphs without any
 cue word of a template hold none of its telling bigrams, so they are ``unknown`` without scoring; the rest is scored whole.
-Nulls: a null text is empty and has no licence. Rows that share an id stay rows. Extra columns are ignored.
+Nulls: a null text is empty and has no licence. Rows that share an id stay rows. An empty table gives no rows, and a
+model fitted on one has no negative examples of its own. Of each of the NEGATIVES texts the first four lines are negative examples,
+and the first 20,000 words of all of them are filler. Very long lines are cut into windows. Extra columns are ignored.
 """
 
 from __future__ import annotations

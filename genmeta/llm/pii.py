@@ -9,7 +9,8 @@ matches give the positions. Patterns use possessive loops, which match the same
 loop never needs a character back) but neither recurse nor retry on long runs. A match may start only at the start of a run
 or where the last match ended, since a later start in a run fails where the first did.
 
-Nulls: a null text is empty and has no span. Extra columns are ignored. Rows that share an id stay rows of their own.
+Nulls: a null text is empty and has no span. Extra columns are ignored. Rows that share an id stay rows of their own. An empty
+table gives no rows. Very long texts are searched whole.
 """
 
 from __future__ import annotations

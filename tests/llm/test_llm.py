@@ -424,3 +424,17 @@ def test_one_candidate_rule_for_crowded_buckets(spark):
     print("linked", len(linked), "sharing a bucket", len(meets), "found", sum(got[a] == got[b] for a, b in linked), "largest bucket", crowd)
     assert crowd > 8 and len(linked) == 60 and len(meets) > 20
     assert all(got[a] == got[b] for a, b in meets)
+
+
+def test_empty_tables_and_repeated_rows(spark, odd):
+    none = odd.limit(0)
+    ranks, pattern = queries.BYTE_RANKS, public_tokenizers.PATTERN
+    model = license_scan.fit(none)
+    assert license_scan.scan(none, model).count() == pii.digests(none).count() == byte_bpe.round_trip_digests(none, ranks, pattern).count() == 0
+    assert decontaminate.findings(none, spark.createDataFrame([(1, "some words of an item to find")], "item_id long, text string")).count() == 0
+    text = "prose before\nReleased under the MIT License.\n" + "long line " * 5000
+    rows = docs_of(spark, [(1, text), (1, text), (2, text + "\n" + text)])
+    assert {r["licence"] for r in license_scan.scan(rows, model).collect()} == {"MIT"}
+    for found in (pii.digests(rows), byte_bpe.round_trip_digests(rows, ranks, pattern)):
+        first, second = found.filter("doc_id = 1").collect()
+        assert first == second
