@@ -38,7 +38,7 @@ def shared():
 
     def once(f):
         def found(chunks):
-            key = f.__name__, chunks._jdf.queryExecution().analyzed().canonicalized().toString()
+            key = f.__name__, chunks._jdf.queryExecution().analyzed().semanticHash()
             if key not in known:
                 known[key] = f(chunks)
             return known[key]
