@@ -38,6 +38,10 @@ BANDS = 80
 BAG, PARITY = 1024, 1024
 FACTS = ["size", "bag", "odd"]
 TILE, STRIPE, PIECE = 2048, 64, 4096
+#: The low bits of a key are its band; NONE is no key of any band.
+BAND_BITS, NONE = 7, -1
+#: Texts of edit similarity SIMILARITY or more are in one class of sizes or in neighbouring ones.
+STEP = 1.01 / SIMILARITY
 SALTS = 16
 SEED = 0x5EED
 TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -75,14 +79,15 @@ class OrderMinHash:
         return mixed(s + out * TIMES, 1)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        """One key for each band."""
+        """One key for each band; its low bits are the band."""
         x = self.labelled(hashes)
         found = [self.ends(x[at : at + BLOCK]) + at for at in range(0, len(x), BLOCK)]
         if len(found) > 1:
             kept = np.concatenate(found, axis=1)
             found = [np.take_along_axis(kept, self.ends(x[kept]), 1)]
         at = np.sort(found[0].reshape(len(self.flip), 2, 2), axis=2).reshape(-1, 2)
-        return mixed((x[at[:, 0]] * TIMES + x[at[:, 1]]) * TIMES + np.arange(self.bands, dtype=np.uint64), 2)
+        band = np.arange(self.bands, dtype=np.uint64)
+        return mixed((x[at[:, 0]] * TIMES + x[at[:, 1]]) * TIMES + band, 2) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band
 
     def ends(self, x: np.ndarray) -> np.ndarray:
         """Places of the two smallest and the two largest k-mers under each permutation; one alone is all of them."""
@@ -169,20 +174,44 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, h, bands) of (doc_id, t, text): h is the hash of the words, null for a text without words."""
+    """(doc_id, t, h, size, bands) of (doc_id, t, text): h is the hash of the words, null for a text without words, size their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sketch = WordHashes(), OrderMinHash()
         for batch in text_rows(batches):
             words.trim()
-            keys, bands = [], []
+            keys, sizes, bands = [], [], []
             for text in batch.column("text").to_pylist():
                 w = words_of(text)
                 keys.append(xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63) if w else None)
+                sizes.append(len(w))
                 bands.append(sketch.of(words.of(w)).view(np.int64) if w else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", "h", "bands"])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "h", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, t long, h long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, h long, size long, bands array<long>")
+
+
+def bucket_members(texts: DataFrame) -> DataFrame:
+    """(key, h, size) of (h, size, bands), one row a text: members of buckets that hold another text of a size that may be linked.
+
+    The first shuffle counts keys, the second brings members to the keys that several texts share; what follows is small.
+    """
+    rows = texts.select("h", "size", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    sized = written(rows.join(shared, "key").withColumn("step", F.floor(F.log("size") / float(np.log(STEP)))), "sized")
+    around = sized.groupBy("key", "step").agg(F.count("*").alias("n")).select("key", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), "n")
+    met = around.groupBy("key", "step").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "step")
+    members = written(sized.join(met, ["key", "step"]).select("key", "h", "size"), "members")
+    drop_table(sized)
+    return members
+
+
+def led(members: DataFrame) -> DataFrame:
+    """(a, b): each member with the smallest of its bucket, where sizes allow a link."""
+    least = members.groupBy("key").agg(F.min(F.struct("h", "size")).alias("least"))
+    most = F.floor(F.greatest("size", "least.size") * (1 - SIMILARITY) + 1e-9)
+    return members.join(least, "key").filter((F.col("h") != F.col("least.h")) & (F.abs(F.col("size") - F.col("least.size")) <= most)).select(F.col("least.h").alias("a"), F.col("h").alias("b")).distinct()
 
 
 def word_arrays(texts: DataFrame) -> DataFrame:
@@ -253,8 +282,8 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
 
     A bucket is cut into blocks of about TILE members by their hash, and each two blocks, or one with itself, are a tile that one
     task compares in arrays: a bucket of any size is spread over many tasks, no row is made for a pair that isn't plausible, and
-    none is left out. A pair that shares several buckets comes from the first of them alone: prints, the keys of all its samples,
-    say which that is.
+    none is left out. A pair that shares several buckets comes from the first of them alone: prints, the keys of all buckets with
+    members of different components that a text is in, say which that is.
     """
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
@@ -267,7 +296,10 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
     def pairs_of(tile: pa.Table) -> pa.RecordBatch:
         f = Facts({c: tile.column(c).combine_chunks() for c in ("h", "c", *FACTS)})
         own, lo, hi = (np.asarray(tile.column(c)) for c in ("own", "lo", "hi"))
-        prints, key = tile.column("prints").combine_chunks().flatten().to_numpy().reshape(len(own), -1), tile.column("key")[0].as_py()
+        held, key = tile.column("prints").combine_chunks(), tile.column("key")[0].as_py()
+        flat, low = held.flatten().to_numpy(), (1 << BAND_BITS) - 1
+        prints = np.full((len(own), BANDS), NONE, np.int64)
+        prints[np.repeat(np.arange(len(own)), held.value_lengths().to_numpy()), flat & low] = flat
         left, right = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
         found = []
         for at in range(0, len(left), STRIPE):
@@ -279,7 +311,7 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
             i, j = i[keep], j[keep]
             ok = allowed(f, i, f, j)
             i, j = i[ok], j[ok]
-            first = (prints[i] == prints[j]).argmax(1)
+            first = ((prints[i] == prints[j]) & (prints[i] != NONE)).argmax(1)
             here = prints[i, first] == key
             found.append((f.h[i[here]], f.h[j[here]]))
         a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
@@ -376,12 +408,11 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     with_bands = written(sketches(rows), "sketches")
     sketched = written(with_bands.select("doc_id", "t", "h"), "ids")
-    texts = written(with_bands.filter("h IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands")), "bands")
+    texts = written(with_bands.filter("h IS NOT NULL").groupBy("h").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "bands")
     drop_table(with_bands)
     release(texts)
-    band_rows = texts.select("h", F.explode("bands").alias("key"))
-    shared = band_rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key", "least")
-    members = written(band_rows.join(shared, "key"), "members")  # (key, h, least) of buckets with two texts or more
+    members = bucket_members(texts)
+    drop_table(texts)
     release(members)
     wanted = members.select("h").distinct()
     reps = sketched.select("doc_id", "h").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -389,8 +420,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     facts = words.select("h", *FACTS)
 
     # first each text with the smallest of its buckets' smallest members, then with those that are still apart
-    leaders = plausible(members.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct(), facts)
-    leaders = written(leaders, "leaders")
+    leaders = written(plausible(led(members), facts), "leaders")
     tested = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(verified(tested, words), "links")
     labels = components(links)
@@ -399,11 +429,12 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # then what is still apart within a bucket
     now = relabelled(members.select("key", "h"), labels, "h", "c")
     mixed_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    prints = texts.select("h", F.col("bands").alias("prints"))
-    crowd = written(now.join(mixed_keys, "key").join(facts, "h").join(prints, "h"), "crowded")
+    apart = written(now.join(mixed_keys, "key"), "apart")
+    prints = apart.groupBy("h").agg(F.collect_list("key").alias("prints"))  # one for each band at most
+    crowd = written(apart.join(prints.join(facts, "h"), "h"), "crowded")
     pairs = written(crowded_pairs(crowd), "pairs")
     labels, links = settled(pairs, leaders, words, labels, links, (True, False))
-    for table in (members, leaders, words, crowd, pairs, texts):
+    for table in (members, leaders, words, apart, crowd, pairs):
         drop_table(table)
 
     ends = links.select(F.col("a").alias("h"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("h").agg(F.count("o").alias("n_links"))
