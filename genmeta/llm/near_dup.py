@@ -339,7 +339,10 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Those (a, b) whose alignment shows SIMILARITY; b is fetched first, a may be one text in very many pairs."""
+    """Those (a, b) whose alignment shows SIMILARITY; b is fetched first, a may be one text in very many pairs.
+
+    Only words that a pair asks for are moved: pairs of late rounds are few, and then small enough for Spark to broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_rows(batches, 64):
@@ -347,8 +350,10 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             keep = [similar(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(words.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
-    both = with_b.join(words.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a")
+    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    needed = words.select("h", "words").join(asked, "h", "left_semi")
+    with_b = pairs.join(needed.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
+    both = with_b.join(needed.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
@@ -416,7 +421,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     release(members)
     wanted = members.select("h").distinct()
     reps = sketched.select("doc_id", "h").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    words = written(word_arrays(rows.join(reps.distinct(), "doc_id").select("text")).dropDuplicates(["h"]), "words")
+    reps = written(reps.distinct(), "reps")  # a table, so that Spark knows its size before it decides whether to shuffle texts
+    words = written(word_arrays(rows.join(reps, "doc_id").select("text")).dropDuplicates(["h"]), "words")
+    drop_table(reps)
     facts = words.select("h", *FACTS)
 
     # first each text with the smallest of its buckets' smallest members, then with those that are still apart
