@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from genmeta.operators import graph
+from genmeta.operators import graph, passes
 from genmeta.plans import tables
 
 
@@ -20,3 +20,16 @@ def test_estimated_size_of_repeated_rows(spark):
     held = tables.written(spark.range(n).select((F.col("id") % 100).alias("file_id"), F.lit("CheckpointLoaderSimple").alias("class_type")), "repeated")
     estimated = int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert estimated >= n * (8 + len("CheckpointLoaderSimple"))
+
+
+def test_roots_take_one_job_and_no_tables(spark, monkeypatch):
+    """The root that most nodes lead to, over a diamond, a cycle and a missing node; nothing goes through tables of rounds."""
+    monkeypatch.setattr(tables, "stored", None)
+    link = lambda *to: {f"i{k}": [t, 0] for k, t in enumerate(to)}
+    node = lambda cls, *to: {"class_type": cls, "inputs": link(*to)}
+    graphs = {
+        1: {"1": node("A"), "2": node("A", "1"), "3": node("A", "1"), "8": node("SaveImage", "1"), "9": node("SaveImage", "2", "3", "77")},
+        2: {"1": node("A", "2"), "2": node("A", "1"), "5": node("PreviewImage", "1"), "6": node("PreviewImage", "1")}, 3: {"4": node("saver", "4")}, 4: {"4": node("A", "4")},
+    }
+    rows = graph.inputs(spark.createDataFrame([(k, json.dumps(g)) for k, g in graphs.items()], "file_id long, text string"))
+    assert {tuple(r) for r in passes.roots(passes.files(rows)).collect()} == {(1, "9", 3), (2, "5", 2), (3, "4", 0)}
