@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.tables import spread
 
 FIELDS = ["prompt", "negative_prompt", "model", "model_hash", "seed", "cfg_scale", "steps", "sampler", "scheduler", "clip_skip", "denoising_strength", "vae", "width", "height"]
 #: Generator, rank, gate, excluded gate, then the path of each field; empty where a record has none.
@@ -81,7 +82,7 @@ def rejects(chunks: DataFrame) -> DataFrame:
 def records(chunks: DataFrame) -> DataFrame:
     """One record for each (chunk, rule) whose gate is open."""
     spark = chunks.sparkSession
-    objects, _ = candidates(chunks)
+    objects, _ = candidates(spread(chunks, "file_id"))
     inner = F.try_variant_get("doc", F.lit("$.sui_image_params"), "variant")
     objects = objects.withColumn("doc", F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(F.col("doc")))
     doc = F.col("doc")

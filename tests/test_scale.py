@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from genmeta.operators import graph, passes
+from genmeta.operators import graph, json_records, passes
 from genmeta.plans import tables
 
 
@@ -33,3 +33,10 @@ def test_roots_take_one_job_and_no_tables(spark, monkeypatch):
     }
     rows = graph.inputs(spark.createDataFrame([(k, json.dumps(g)) for k, g in graphs.items()], "file_id long, text string"))
     assert {tuple(r) for r in passes.roots(passes.files(rows)).collect()} == {(1, "9", 3), (2, "5", 2), (3, "4", 0)}
+
+
+def test_records_of_one_task_are_dealt_over_all(spark):
+    rows = [(i, "Comment", json.dumps({"positive_prompt": f"p{i}", "seed": i})) for i in range(64)]
+    found = json_records.records(spark.createDataFrame(rows, "file_id long, chunk_key string, text string").coalesce(1))
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    assert {(r["file_id"], r["prompt"], r["seed"]) for r in found.collect()} == {(i, f"p{i}", i) for i in range(64)}
