@@ -277,8 +277,8 @@ def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(run, "a long, b long")
 
 
-def crowded_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of members (key, h, c, and facts) of one bucket but of different components that facts allow to be linked.
+def crowded_pairs(members: DataFrame, *, components_too: bool = False) -> DataFrame:
+    """(a, b) of members (key, h, c, and facts) of one bucket but of different components that facts allow to be linked; components_too adds these, ca and cb.
 
     A bucket is cut into blocks of about TILE members by their hash, and each two blocks, or one with itself, are a tile that one
     task compares in arrays: a bucket of any size is spread over many tasks, no row is made for a pair that isn't plausible, and
@@ -293,6 +293,8 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
     tiled = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("key", "lo", "hi", "own", "h", "c", *FACTS, "prints")
     sorted_ = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
+    names = ["a", "b", "ca", "cb"] if components_too else ["a", "b"]
+
     def pairs_of(tile: pa.Table) -> pa.RecordBatch:
         f = Facts({c: tile.column(c).combine_chunks() for c in ("h", "c", *FACTS)})
         own, lo, hi = (np.asarray(tile.column(c)) for c in ("own", "lo", "hi"))
@@ -313,9 +315,11 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
             i, j = i[ok], j[ok]
             first = ((prints[i] == prints[j]) & (prints[i] != NONE)).argmax(1)
             here = prints[i, first] == key
-            found.append((f.h[i[here]], f.h[j[here]]))
-        a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            found.append((f.h[i[here]], f.h[j[here]], f.c[i[here]], f.c[j[here]]))
+        a, b, ca, cb = (np.concatenate([p[k] for p in found]) for k in range(4))
+        swap = a > b
+        columns = [np.minimum(a, b), np.maximum(a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns[: len(names)]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[pa.RecordBatch] = []
@@ -335,13 +339,14 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
         if open_:
             yield pairs_of(pa.Table.from_batches(open_))
 
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return sorted_.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame, *, many: bool = False) -> DataFrame:
     """Those (a, b) whose alignment shows SIMILARITY; b is fetched first, a may be one text in very many pairs.
 
     Only words that a pair asks for are moved: pairs of late rounds are few, and then small enough for Spark to broadcast.
+    many: pairs grow with the table, so they are shuffled whatever their size, and small tables cost what large ones do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +357,9 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     needed = words.select("h", "words").join(asked, "h", "left_semi")
+    pairs = pairs.hint("merge") if many else pairs
     with_b = pairs.join(needed.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
+    with_b = with_b.hint("merge") if many else with_b
     both = with_b.join(needed.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
@@ -362,17 +369,29 @@ def relabelled(members: DataFrame, labels: DataFrame, col: str, name: str) -> Da
     return members.join(labels.select(F.col("v").alias(col), F.col("c").alias("found")), col, "left").withColumn(name, F.coalesce("found", col)).drop("found")
 
 
-def settled(pairs: DataFrame, tested: DataFrame, words: DataFrame, labels: DataFrame, links: DataFrame, rounds: tuple[bool, ...]) -> tuple[DataFrame, DataFrame]:
-    """labels and links after verifying pairs (a, b) not yet tested: in rounds of True one pair of each two components, since one link joins all of both; in those of False every pair still apart."""
-    for one_each in rounds:
-        apart = relabelled(relabelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").join(tested, ["a", "b"], "left_anti")
+def separate(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb) of those (a, b) whose components, ca and cb, differ."""
+    return relabelled(relabelled(pairs.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
+
+
+def settled(apart: DataFrame, words: DataFrame, labels: DataFrame, links: DataFrame, rounds: tuple[bool, ...]) -> tuple[DataFrame, DataFrame]:
+    """labels and links after verifying untested pairs of different components (a, b, ca, cb): in rounds of True one pair of each two components, since one link joins all of both; in those of False every pair still apart.
+
+    A round hands on only pairs that are still apart, so pairs within a component are joined with labels once.
+    """
+    for n, one_each in enumerate(rounds):
+        if n:
+            apart = separate(apart.join(asked, ["a", "b"], "left_anti"), labels)
         if one_each:
-            apart = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-        asked = written(apart.select("a", "b"), "asked")
+            apart = written(apart, "still-apart")
+            asked = apart.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        else:
+            asked = apart.select("a", "b")
+        asked = written(asked, "asked")
         if asked.isEmpty():
             break
         more_links = written(verified(asked, words), "links")
-        labels, tested, links = extended(labels, more_links), tested.union(asked), links.union(more_links)
+        labels, links = extended(labels, more_links), links.union(more_links)
     return labels, links
 
 
@@ -400,7 +419,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     decided = written(salted.join(best, ["c", "salt"]).select("doc_id", "t", "n", ((F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.t") == F.col("t"))).alias("stays")).filter("n > 1 OR NOT stays"), "decided")
     keyed = docs.withColumn("id_", F.col(id_col).cast("long")).withColumn("t_", F.xxhash64(whole_text(text_col)))
     of = lambda rows: rows.select(F.col("doc_id").alias("id_"), F.col("t").alias("t_")).distinct()
-    out = keyed.join(of(decided), ["id_", "t_"], "left_anti").select(*docs.columns)
+    out = keyed.join(of(decided).hint("merge"), ["id_", "t_"], "left_anti").select(*docs.columns)  # rows decided grow with the table: shuffled whatever their size
     repeated = decided.filter("stays")
     if not repeated.isEmpty():
         out = out.union(keyed.join(of(repeated), ["id_", "t_"], "left_semi").dropDuplicates(["id_", "t_"]).select(*docs.columns))
@@ -429,9 +448,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # first each text with the smallest of its buckets' smallest members, then with those that are still apart
     leaders = written(plausible(led(members), facts), "leaders")
     tested = leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(tested, words), "links")
+    links = written(verified(tested, words, many=True), "links")
     labels = components(links)
-    labels, links = settled(leaders, tested, words, labels, links, (True, True, False))
+    labels, links = settled(separate(leaders.join(tested, ["a", "b"], "left_anti"), labels), words, labels, links, (True, True, False))
 
     # then what is still apart within a bucket
     now = relabelled(members.select("key", "h"), labels, "h", "c")
@@ -439,9 +458,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     apart = written(now.join(mixed_keys, "key"), "apart")
     prints = apart.groupBy("h").agg(F.collect_list("key").alias("prints"))  # one for each band at most
     crowd = written(apart.join(prints.join(facts, "h"), "h"), "crowded")
-    pairs = written(crowded_pairs(crowd), "pairs")
-    labels, links = settled(pairs, leaders, words, labels, links, (True, False))
-    for table in (members, leaders, words, apart, crowd, pairs):
+    pairs = crowded_pairs(crowd, components_too=True).join(leaders, ["a", "b"], "left_anti")
+    labels, links = settled(pairs, words, labels, links, (True, False))
+    for table in (members, leaders, words, apart, crowd):
         drop_table(table)
 
     ends = links.select(F.col("a").alias("h"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("h").agg(F.count("o").alias("n_links"))

@@ -438,3 +438,20 @@ def test_empty_tables_and_repeated_rows(spark, odd):
     for found in (pii.digests(rows), byte_bpe.round_trip_digests(rows, ranks, pattern)):
         first, second = found.filter("doc_id = 1").collect()
         assert first == second
+
+
+def test_settled_pairs_meet_labels_once(spark, monkeypatch):
+    """One link joins two components: the other 399 pairs of them are looked up once more, not in every round; crowded pairs bring their components."""
+    met, relabelled = [], near_dup.relabelled
+    monkeypatch.setattr(near_dup, "relabelled", lambda rows, labels, col, name: (met.append(rows.count()) if col == "b" else None, relabelled(rows, labels, col, name))[1])
+    base = [f"w{i}" for i in range(60)]
+    words = near_dup.word_arrays(spark.createDataFrame([(" ".join([*base, f"x{i}"]),) for i in range(40)], "text string"))
+    h = sorted(r["h"] for r in words.select("h").collect())
+    labels = spark.createDataFrame([(v, h[0] if i < 20 else h[20]) for i, v in enumerate(h)], "v long, c long")
+    apart = spark.createDataFrame([(a, b, h[0], h[20]) for a in h[:20] for b in h[20:]], "a long, b long, ca long, cb long")
+    after, links = near_dup.settled(apart, words, labels, labels.limit(0).toDF("a", "b"), (True, True, False))
+    assert links.count() == 1 and {r["c"] for r in after.collect()} == {h[0]}
+    assert sum(met) <= 399
+    members = words.select("h", F.lit(0).cast("long").alias("key"), F.pmod("h", F.lit(7)).alias("c"), *near_dup.FACTS, F.array(F.lit(0).cast("long")).alias("prints"))
+    got = near_dup.crowded_pairs(members, components_too=True).collect()
+    assert got and all((r["ca"], r["cb"]) == (r["a"] % 7, r["b"] % 7) for r in got)
