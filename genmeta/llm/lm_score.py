@@ -7,8 +7,9 @@ gives a normalised probability to any text. The class model is log-bilinear: the
 context's vectors, each times its place's weights, plus a bias. Tasks train on their share of the counted runs, and
 parameters are averaged after each round. Normalisers of all contexts come from batched matrix products.
 
-Bounds: parameters, the table of normalisers (classes x classes) and the HEAD most frequent tokens are shared with all tasks;
-their sizes are parameters. Counts of all other tokens come from a join, so every count is exact.
+Bounds: parameters, the table of normalisers (classes x classes) and the most frequent tokens, at most HEAD and all of one count
+or none beyond the COMMON ones, are shared with all tasks; their sizes are parameters. Counts of all other tokens come from a
+join, so every count is exact.
 
 Nulls: a null text is empty (one token, the end); a null id trains as the empty id. Rows that share an id stay rows. An empty
 table gives no rows; without training rows N is 0, every token unseen and the classes uniform. Extra columns are ignored.
@@ -116,6 +117,27 @@ def run_counts(rows: DataFrame, common: list[bytes], end: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(vocabulary: DataFrame, most: int, common: int) -> list[tuple[bytes, int]]:
+    """(token, c), the most frequent first, of at most about most tokens: the common most frequent ones, then all others that
+    occur more often than some count, so many that most are not exceeded. Tokens of one count are ordered by their bytes.
+
+    How many tokens have each count says where to cut, so only tokens that are kept reach the driver, as columns.
+    """
+    sizes = vocabulary.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))  # one row a count: about the square root of all tokens at most
+    counts = sizes.toArrow()
+    c, upto = counts["c"].to_numpy(), np.cumsum(counts["n"].to_numpy())
+    whole = int(np.searchsorted(upto, most, "right"))  # so many counts have all their tokens within most
+    first = min(int(np.searchsorted(upto, common)), len(c) - 1)  # the common ones end within this count
+    got = []
+    if len(c):
+        least = int(c[first])
+        got = [vocabulary.filter(F.col("c") >= least).select("token", "c").orderBy(F.desc("c"), "token").limit(common).toArrow()]
+        if whole:
+            got += [vocabulary.filter((F.col("c") >= int(c[whole - 1]))).select("token", "c").toArrow()]
+    held = {t: n for table in got for t, n in zip(table["token"].to_pylist(), table["c"].to_pylist(), strict=True)}
+    return sorted(held.items(), key=lambda x: (-x[1], x[0]))
+
+
 # --- the class model -----------------------------------------------------------------------------------------------------
 @dataclass
 class LogBilinear:
@@ -253,7 +275,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     learn = rows.filter(~F.col("held_out"))
     vocabulary = written(token_counts(learn).withColumn("other", other_class()), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["token"]), r["c"]) for r in vocabulary.select("token", "c").orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    top = most_frequent(vocabulary, HEAD, COMMON)
     common = [t for t, _ in top[:COMMON]]
     end = common.index(END) if END in common else 0
 

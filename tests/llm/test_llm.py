@@ -455,3 +455,19 @@ def test_settled_pairs_meet_labels_once(spark, monkeypatch):
     members = words.select("h", F.lit(0).cast("long").alias("key"), F.pmod("h", F.lit(7)).alias("c"), *near_dup.FACTS, F.array(F.lit(0).cast("long")).alias("prints"))
     got = near_dup.crowded_pairs(members, components_too=True).collect()
     assert got and all((r["ca"], r["cb"]) == (r["a"] % 7, r["b"] % 7) for r in got)
+
+
+def test_most_frequent_tokens(spark, monkeypatch):
+    """Frequent tokens reach the driver alone: counts that pass the bound go as a whole, the common tokens stay, and scores don't depend on the bound."""
+    rows = [(f"t{i:03}".encode(), c) for i, c in enumerate([9, 7, 7, 5, *[3] * 6, *[1] * 40])]
+    vocabulary = spark.createDataFrame(rows, "token binary, c long").repartition(3)
+    order = sorted(rows, key=lambda x: (-x[1], x[0]))
+    assert lm_score.most_frequent(vocabulary, 12, 2) == order[:10] and lm_score.most_frequent(vocabulary, 8, 2) == order[:4]
+    assert lm_score.most_frequent(vocabulary, 3, 6) == order[:6] and lm_score.most_frequent(vocabulary, 99, 2) == order
+    assert lm_score.most_frequent(vocabulary.limit(0), 9, 2) == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    of = lambda: {r["doc_id"]: r for r in lm_score.scores(docs).collect()}
+    whole = of()
+    monkeypatch.setattr(lm_score, "HEAD", 1500)
+    for i, r in of().items():
+        assert r[:5] == whole[i][:5] and np.allclose([r["base_score"], r["score"]], [whole[i]["base_score"], whole[i]["score"]])
