@@ -16,6 +16,7 @@ doc_id are kept, ordered by a hash of their text. An empty table gives an empty
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -110,7 +111,7 @@ class PieceTokens(dict):
     between batches once it holds more.
     """
 
-    LIMIT, AT_ONCE = 64 << 20, 400
+    LIMIT, AT_ONCE = 128 << 20, 400
     CONTRACTION = r"'(?:[sStTmMdD]|[rRvV][eE]|[lL]{2})"
     ASCII_PIECE = re.compile(CONTRACTION + r"|[A-Za-z]+|[0-9]|[^\t\n\v\f\r A-Za-z0-9]+")
     PIECE = re.compile(rf"{CONTRACTION}|[^\W\d_]+|\d|(?:[^\w{WHITE}]|_)+")
@@ -192,6 +193,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         tokens, shard = piece_tokens(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         ids, doc_ids, sizes, first, segment, held = [], [], [], 0, 0, 0
