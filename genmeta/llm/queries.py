@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, decontaminate, language, license_scan, lm_score, merkle, near_dup, oracles, piece_bpe, pii, token_store, toxicity, whitening
-from .common import fold, read, whole_text
+from .common import fold, read, whole_text, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,7 +35,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     languages = language.fit(docs.filter(fold(5) != 0))
     labels = read(spark, sf_dir, "labels").filter(fold(5) != 0)
     model = toxicity.fit(docs, labels, languages)
-    return toxicity.score(docs.withColumn("held_out", fold(5) == 0), model, languages, ["held_out"]).select("doc_id", "held_out", "score", "predicted")
+    scored = written(toxicity.logits(docs.withColumn("held_out", fold(5) == 0), model, languages, ["held_out"]), "logits")
+    toxicity.calibrate(scored, labels, model)
+    return toxicity.shifted_scores(scored, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ gather of a few words. Scores are shifted by a threshold for each language, so t
 language is the one that the text itself shows (the n-gram model of ``language``), never a column.
 
 The model is fitted on about PER_LABEL labelled ids of each label at most (those with the smallest hashes; only ids and labels
-are ranked, their texts are fetched afterwards). Thresholds weigh the rows kept apart by how many ids of their label there
+are ranked, their texts are fetched afterwards). The query's thresholds come from the logits of all other labelled rows, counted in
+cells (calibrate()). The bounded sample's own thresholds weigh its rows kept apart by how many ids of their label there
 are, so they don't move when the bound takes a smaller share of the more frequent label. Every language that the rows kept apart
 show gets a threshold: the cut with the fewest errors among its rows and all rows together, which count as COMMON rows of it.
 So a language with few rows stays near the common threshold and moves away as its own evidence grows; a language that no row kept
@@ -38,6 +39,7 @@ FILTERS = 10
 PREFIXES = (4, 5)
 PER_LABEL = 4000
 COMMON = 20.0
+CELLS = 64
 CHUNK, WORDS = 1 << 14, 1 << 17
 
 
@@ -71,6 +73,7 @@ class ToxicityModel:
         self.thresholds: dict[str, float] = {}
         self.threshold = 0.0
         self.trained = False
+        self.fitted: list[int] = []  # ids whose rows gradients came from
 
     def pooled(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest value of each filter over the whole text, and the word where its window starts; -1 where it is below 0."""
@@ -212,29 +215,90 @@ def train(texts: list[str], y: list[int], langs: list[str], all_rows: tuple[int,
     for epoch in range(epochs):
         for i in rng.permutation(fit):
             model.step(rows[i], int(y[i]), rate / (1 + epoch / 2), weight[int(y[i])])
-    model.trained, model.past = True, {}
+    model.trained, model.past, model.fitted = True, {}, fit.tolist()
     held = np.flatnonzero(apart) if apart.any() else fit
     logits, names = np.array([model.logit(rows[i]) for i in held]), np.array([langs[i] for i in held])
     stands_for = np.array(all_rows or (1, 1)) / (np.bincount(y, minlength=2) if all_rows else 1)
-    each = stands_for[y[held]]
-    model.threshold = best_threshold(logits, y[held], each)
-    each = each / each.mean()
-    for lang in sorted(set(names)):
-        # all rows together count as COMMON rows of the language, so its threshold leaves the common one as its own rows speak against it
-        model.thresholds[lang] = best_threshold(logits, y[held], each * (names == lang) + COMMON * each / each.sum())
+    set_thresholds(model, logits, y[held], names, stands_for[y[held]])
     return model
 
 
+def set_thresholds(model: ToxicityModel, logits: np.ndarray, y: np.ndarray, names: np.ndarray, each: np.ndarray, rows: np.ndarray | None = None) -> None:
+    """The common threshold and that of each language; each is the weight of an entry, which is one row unless rows says how many."""
+    model.threshold, model.thresholds = best_threshold(logits, y, each), {}
+    each = each / (each.sum() / (len(each) if rows is None else rows.sum()))
+    for lang in sorted(set(map(str, names))):
+        # all rows together count as COMMON rows of the language, so its threshold leaves the common one as its own rows speak against it
+        model.thresholds[lang] = best_threshold(logits, y, each * (names == lang) + COMMON * each / each.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, languages: language.LanguageModel, *, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fits on a bounded sample of labels (doc_id, toxic) and the texts of docs."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    """Fits on a bounded sample of labels (doc_id, toxic) and the texts of docs; calibrate() then sets thresholds by all other labels."""
+    known = known_labels(labels, label_col)
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, language.share(total.get(1, 0), per_label)).otherwise(language.share(total.get(0, 0), per_label))
     chosen = F.broadcast(known.filter(language.unit_hash("doc_id") < share))  # about per_label ids of each label
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).join(chosen, "doc_id")
     got = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").collect()
-    return train([r["text"] for r in got], [r["y"] for r in got], [languages.predict(r["text"])[0] for r in got], (total.get(0, 0), total.get(1, 0)))
+    model = train([r["text"] for r in got], [r["y"] for r in got], [languages.predict(r["text"])[0] for r in got], (total.get(0, 0), total.get(1, 0)))
+    model.fitted = [got[i]["doc_id"] for i in model.fitted]
+    return model
+
+
+def known_labels(labels: DataFrame, label_col: str = "toxic") -> DataFrame:
+    """(doc_id, y), one row an id."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def logits(docs: DataFrame, model: ToxicityModel, languages: language.LanguageModel, keep: list[str] = (), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, *keep, logit, seen) of every whole text: seen is the language that the text shows; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, languages))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, whole_text(text_col).alias("text_"))
+    schema = rows.drop("text_").schema.add("logit", "double").add("seen", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, langs = shared.value
+        scorer = Scorer(own)
+        for batch in text_rows(batches):
+            texts = batch.column("text_").to_pylist()
+            rest = batch.drop_columns(["text_"])
+            seen = [langs.predict(t)[0] if own.trained else "" for t in texts]
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scorer.logits(texts), pa.float64()), pa.array(seen, pa.string())], [*rest.schema.names, "logit", "seen"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, model: ToxicityModel, *, label_col: str = "toxic") -> None:
+    """Sets the model's thresholds by all labelled rows of scored (doc_id, logit, seen), except those that it was fitted on.
+
+    Rows are counted in cells of 1 / CELLS of a logit. A cut lies between two cells, so the errors of each cut are those of all
+    rows; what reaches the driver are cells, of which a language has about 80 x CELLS at most. Rows of a label weigh so much that
+    they stand for all of the label. Nothing changes if there are no such rows of both labels.
+    """
+    if not model.trained:
+        return
+    known = known_labels(labels, label_col)
+    fitted = scored.sparkSession.createDataFrame([(i,) for i in model.fitted], "doc_id long")
+    one = scored.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("logit", "seen")).alias("s"))
+    held = one.join(F.broadcast(fitted), "doc_id", "left_anti").withColumn("cell", F.floor(F.greatest(F.least("s.logit", F.lit(40.0)), F.lit(-40.0)) * CELLS))
+    cells = held.groupBy(F.col("s.seen").alias("seen"), "cell", "y").agg(F.count("*").alias("n")).orderBy("seen", "cell", "y").toArrow()
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    y, n = cells["y"].to_numpy(), cells["n"].to_numpy()
+    rows = np.bincount(y, n, 2)
+    if rows.min() > 0:
+        stands_for = np.array([total[0], total[1]]) / rows
+        set_thresholds(model, (cells["cell"].to_numpy() + 0.5) / CELLS, y, np.array(cells["seen"].to_pylist()), n * stands_for[y], n)
+
+
+def shifted_scores(scored: DataFrame, model: ToxicityModel) -> DataFrame:
+    """scored with score and predicted for logit and seen, by the model's thresholds."""
+    at = F.lit(model.threshold)
+    if model.thresholds:
+        at = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in model.thresholds.items() for x in pair)), F.col("seen")), at)
+    z = F.greatest(F.least(F.col("logit") - at, F.lit(40.0)), F.lit(-40.0))
+    score = 1 / (1 + F.exp(-z)) if model.trained else F.lit(0.0)
+    return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score(docs: DataFrame, model: ToxicityModel, languages: language.LanguageModel, keep: list[str] = (), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

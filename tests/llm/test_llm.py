@@ -471,3 +471,21 @@ def test_most_frequent_tokens(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", 1500)
     for i, r in of().items():
         assert r[:5] == whole[i][:5] and np.allclose([r["base_score"], r["score"]], [whole[i]["base_score"], whole[i]["score"]])
+
+
+def test_thresholds_come_from_all_labels(spark):
+    """Labels that the bounded sample leaves out move the thresholds; rows that gradients came from don't."""
+    model = toxicity.ToxicityModel()
+    model.trained, model.fitted = True, [0, 1]
+    rows = [(0, 9.0, "aa"), (1, -9.0, "aa"), *((10 + i, i / 10 - 2, "aa") for i in range(60)), *((100 + i, i / 10 - 2, "bb") for i in range(60)), (None, 0.0, "aa"), (999, 5.0, "cc")]
+    scored = spark.createDataFrame(rows, "doc_id long, logit double, seen string")
+    labels = [(0, 0), (1, 1), *((10 + i, int(i >= 30)) for i in range(60)), *((100 + i, int(i >= 40)) for i in range(60)), (None, 1), (5000, 1)]
+    toxicity.calibrate(scored, spark.createDataFrame(labels, "doc_id long, toxic int"), model)
+    assert set(model.thresholds) == {"aa", "bb"} and 0.9 <= model.thresholds["aa"] <= 1.0 and 1.9 <= model.thresholds["bb"] <= 2.0
+    got = {r["doc_id"]: r for r in toxicity.shifted_scores(scored, model).collect()}
+    assert all(got[i]["predicted"] == y for i, y in labels[2:-2]) and got[999]["score"] == pytest.approx(model.shifted(5.0, "cc"))
+    before = dict(model.thresholds)
+    toxicity.calibrate(scored, spark.createDataFrame(labels[:2], "doc_id long, toxic int"), model)
+    assert model.thresholds == before
+    toxicity.calibrate(scored, spark.createDataFrame([], "doc_id long, toxic int"), none := toxicity.ToxicityModel())
+    assert {r["score"] for r in toxicity.shifted_scores(scored, none).collect()} == {0.0}
