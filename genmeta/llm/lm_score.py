@@ -4,12 +4,14 @@ Tokens are the blank-separated words of a text, A-Z lowered, then one end. All t
 three classes. The classes are the COMMON most frequent tokens and OTHER groups of the rest (by their last two bytes); a
 token's probability is that of its class given the two classes before, times its smoothed share of its class, so the model
 gives a normalised probability to any text. The class model is log-bilinear: the next class's vector against the sum of the
-context's vectors, each times its place's weights, plus a bias. Tasks train on their share of the counted runs, and
-parameters are averaged after each round. Normalisers of all contexts come from batched matrix products.
+context's vectors, each times its place's weights, plus a bias. Tasks train on their share of the counted runs, HELD at a
+time, and parameters are averaged after each round. As a score is a sum over the two places, normalisers of all contexts come
+from one matrix product, and the score of a run from two tables of classes by classes. Tasks split a batch of texts at once and
+look up its distinct tokens.
 
-Bounds: parameters, the table of normalisers (classes x classes) and the most frequent tokens, at most HEAD and all of one count
-or none beyond the COMMON ones, are shared with all tasks; their sizes are parameters. Counts of all other tokens come from a
-join, so every count is exact.
+Bounds: parameters, the tables of normalisers and scores (classes x classes) and the most frequent tokens, at most HEAD and all
+of one count or none beyond the COMMON ones, are shared with all tasks; their sizes are parameters. Counts of all other tokens
+come from a join, so every count is exact.
 
 Nulls: a null text is empty (one token, the end); a null id trains as the empty id. Rows that share an id stay rows. An empty
 table gives no rows; without training rows N is 0, every token unseen and the classes uniform. Extra columns are ignored.
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +38,41 @@ CLASSES = COMMON + OTHER
 HEAD = 250_000
 DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 2048, 2, 0.15
 FLUSH = 400_000
+PART, HELD = 8_000_000, 1 << 20  # tokens for each task that sums counted runs, and runs trained on at a time
+TEXTS = 2048  # split at a time, if they aren't long
+TINY = 1e-250
 END = b""
 
 
 def tokens_of(text: str) -> list[bytes]:
+    """The tokens of one text, as tokenised() finds them."""
     return [*text.encode("utf-8", "replace").lower().split(), END]
 
 
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, the end first; the place of each token among them; where each text starts."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)  # a text that starts or ends with a blank has empty parts there
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = before[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()] + np.arange(len(texts))
+    words = words.filter(full).dictionary_encode()
+    at = np.zeros(len(words) + len(texts), np.int32)
+    is_word = np.ones(len(at), bool)
+    is_word[ends] = False
+    at[is_word] = words.indices.to_numpy() + 1
+    return pa.concat_arrays([pa.array([END], pa.binary()), words.dictionary]), at, np.concatenate([[0], ends[:-1] + 1])
+
+
 def other(token: bytes) -> int:
     return COMMON + zlib.crc32(token[-2:]) % OTHER
 
 
+def others(tokens: pa.Array) -> np.ndarray:
+    endings = pc.binary_slice(tokens, -2, None).dictionary_encode()
+    return np.array([other(t) for t in endings.dictionary.to_pylist()], np.int32)[endings.indices.to_numpy()]
+
+
 def other_class() -> F.Column:
     return F.lit(COMMON) + (F.crc32(F.substring("token", -2, 2)) % OTHER).cast("int")
 
@@ -55,66 +82,68 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """(token, c) over all rows; tasks send each distinct token of about FLUSH once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["token", "c"])
-        for batch in text_rows(batches):
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens_of(text))
-                if len(seen) > FLUSH:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+        held, size = [], 0
+
+        def merged() -> pa.RecordBatch:
+            sums = pa.Table.from_batches(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+            return pa.RecordBatch.from_arrays([sums["token"].chunk(0), sums["c_sum"].chunk(0)], ["token", "c"])
+
+        for batch in text_rows(batches, TEXTS):
+            words, at, _ = tokenised(batch.column("text"))
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)))], ["token", "c"]))
+            size += len(words)
+            if size > 2 * FLUSH:
+                held = [merged()]
+                size = len(held[0])
+                if size > FLUSH:
+                    yield held.pop()
+                    size = 0
+        if held:
+            yield merged()
 
     return rows.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-class ClassIds(dict):
-    """Class of each token; remembers words of a task up to a bound."""
-
-    def __init__(self, common: list[bytes]):
-        super().__init__()
-        self.common = {t: i for i, t in enumerate(common)}
-
-    def __missing__(self, token: bytes) -> int:
-        value = self[token] = self.common[token] if token in self.common else other(token)
-        return value
+def classes_of(tokens: pa.Array, common: pa.Array) -> np.ndarray:
+    """The class of each token: its place among the common ones, or the group of the rest."""
+    at = pc.fill_null(pc.index_in(tokens, value_set=common), -1).to_numpy()
+    return np.where(at >= 0, at, others(tokens))
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > 1 << 20:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-
-def contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; before a text stand ends."""
-    padded = np.concatenate([[end, end], ids])
-    return padded[1:-1], padded[:-2]
+    one = np.empty_like(ids)
+    two = np.empty_like(ids)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one[starts] = two[starts] = end
+    two[starts[starts < len(ids) - 1] + 1] = end
+    return one, two
 
 
-def run_counts(rows: DataFrame, common: list[bytes], end: int) -> DataFrame:
-    """(code, n): how often each run of three classes occurs in all rows."""
+def run_counts(rows: DataFrame, common: list[bytes], end: int, parts: int) -> DataFrame:
+    """(code, n): how often each run of three classes occurs in all rows, dealt over parts by code. Tasks have counted their
+    runs, so rows are summed after the shuffle alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held, size = ClassIds(common), [], 0
+        known, held, size = pa.array(common, pa.binary()), [], 0
 
         def flush() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-        for batch in text_rows(batches):
-            for text in batch.column("text").to_pylist():
-                ids = classes.of(tokens_of(text))
-                one, two = contexts(ids, end)
-                held.append((two * CLASSES + one) * CLASSES + ids)
-                size += len(ids)
-                if size > 4 * FLUSH:
-                    yield flush()
-                    held, size = [], 0
+        for batch in text_rows(batches, TEXTS):
+            words, at, starts = tokenised(batch.column("text"))
+            ids = classes_of(words, known)[at].astype(np.int64)
+            one, two = contexts(ids, starts, end)
+            held.append((two * CLASSES + one) * CLASSES + ids)
+            size += len(ids)
+            if size > 4 * FLUSH:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
-    return rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "code long, n long").repartition(parts, "code").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(vocabulary: DataFrame, most: int, common: int) -> list[tuple[bytes, int]]:
@@ -160,11 +189,13 @@ class LogBilinear:
         a, b, c = np.cumsum([CLASSES * DIM, CLASSES * DIM, 2 * DIM])
         return LogBilinear(flat[:a].reshape(-1, DIM).copy(), flat[a:b].reshape(-1, DIM).copy(), flat[b:c].reshape(2, DIM).copy(), flat[c:].copy())
 
-    def train(self, codes: np.ndarray, n: np.ndarray, share: np.ndarray, rate: float, seed: int) -> None:
+    def past(self) -> list[np.ndarray]:
+        """What train() knows of earlier steps, at its start."""
+        return [np.full_like(x, 0.05) for x in (self.context, self.target, self.place, self.bias)]
+
+    def train(self, codes: np.ndarray, n: np.ndarray, share: np.ndarray, rate: float, rng: np.random.Generator, past: list[np.ndarray]) -> None:
         """One pass over counted runs: true classes against NOISE classes drawn by their share, common to a batch."""
-        rng = np.random.default_rng(seed)
         log_noise = np.log(NOISE * share).astype(np.float32)
-        past = [np.full_like(x, 0.05) for x in (self.context, self.target, self.place, self.bias)]
         order = rng.permutation(len(codes))
         edges = np.cumsum(share) / share.sum()
         for at in range(0, len(order), BATCH):
@@ -188,43 +219,68 @@ class LogBilinear:
                 p += g * g
                 value += rate * g / np.sqrt(p)
 
-    def normalisers(self, two: int) -> np.ndarray:
-        """log of the sum over all classes, for each class before, given the one before that."""
-        h = self.context * self.place[0] + self.context[two] * self.place[1]
-        s = h @ self.target.T + self.bias
-        top = s.max(1)
-        return top + np.log(np.exp(s - top[:, None]).sum(1))
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the class before and the one before that add to the score of each class (its bias is in the first)."""
+        return (self.context * self.place[0]) @ self.target.T + self.bias, (self.context * self.place[1]) @ self.target.T
+
+    def normalisers(self, two: int | np.ndarray) -> np.ndarray:
+        """log of the sum over all classes, for each class before, given the one before that (or each of several)."""
+        first, second = (x.astype(np.float64) for x in self.tables())
+        second = second[two]
+        tops = first.max(1), second.max(-1, keepdims=True)
+        sums = np.exp(second - tops[1]) @ np.exp(first - tops[0][:, None]).T
+        out = tops[0] + tops[1] + np.log(np.maximum(sums, TINY))
+        for at in zip(*np.nonzero(sums <= TINY), strict=True):  # both tops are far from the sum's: term by term
+            s = first[at[-1]] + second[at[:-1]]
+            out[at] = s.max() + np.log(np.exp(s - s.max()).sum())
+        return out
 
 
 def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """classes x dim: the sum of the rows at each class."""
-    cells = (at[:, None] * DIM + np.arange(DIM)).ravel()
-    return np.bincount(cells, rows.ravel(), CLASSES * DIM).astype(np.float32).reshape(-1, DIM)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((CLASSES, DIM), np.float32)
+    out[at[starts]] = np.add.reduceat(rows[order], starts)
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def trained(runs: DataFrame, share: np.ndarray, parts: int) -> LogBilinear:
+def trained(runs: DataFrame, share: np.ndarray) -> LogBilinear:
     """Rounds of training in tasks, then an average of the parameters, weighted by the runs that a task saw."""
     spark = runs.sparkSession
     model = LogBilinear.start(share)
     size, blocks = len(model.flat()), 64
     width = -(-size // blocks)
-    runs = written(runs.repartition(parts, "code"), "runs")
+    runs = written(runs, "runs")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.flat(), share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
-            if got:
-                flat, share = shared.value
-                own = LogBilinear.of(flat)
-                codes, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                own.train(codes, n, share, RATE / (1 + r), r)
+            flat, share = shared.value
+            own, rng, total = LogBilinear.of(flat), np.random.default_rng(r), 0.0
+            past, held, size = own.past(), [], 0
+
+            def step() -> float:
+                codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                own.train(codes, n, share, RATE / (1 + r), rng, past)
+                return float(n.sum())
+
+            for b in batches:
+                held.append((b.column("code").to_numpy(), b.column("n").to_numpy()))
+                size += b.num_rows
+                if size >= HELD:
+                    total += step()
+                    held, size = [], 0
+            if size:
+                total += step()
+            if total:
                 out = own.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([out[k * width : (k + 1) * width].tobytes() for k in range(blocks)], pa.binary()), pa.array([float(n.sum())] * blocks)], ["block", "part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([out[k * width : (k + 1) * width].tobytes() for k in range(blocks)], pa.binary()), pa.array([total] * blocks)], ["block", "part", "n"])
 
         def mean(part: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(p, np.float32) * w for p, w in zip(part["part"], part["n"], strict=True)) / part["n"].sum()
@@ -243,23 +299,18 @@ def all_normalisers(spark, model: LogBilinear) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shared.value.normalisers(i).astype(np.float32).tobytes() for i in ids], pa.binary())], ["id", "z"])
+            z = shared.value.normalisers(batch.column("id").to_numpy()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in z], pa.binary())], ["id", "z"])
 
-    got = spark.range(0, CLASSES, 1, 24).mapInArrow(run, "id long, z binary").collect()
+    got = spark.range(0, CLASSES, 1, 12).mapInArrow(run, "id long, z binary").collect()
     return np.stack([np.frombuffer(x["z"], np.float32) for x in sorted(got, key=lambda x: x["id"])])
 
 
 # --- scores --------------------------------------------------------------------------------------------------------------
-class Head(dict):
-    def __missing__(self, token: bytes) -> int:
-        return -1
-
-
 @dataclass
 class Shared:
     head: dict[bytes, int]
-    base: np.ndarray  # log10 of the smoothed share of each head token
+    base: np.ndarray  # log10 of the smoothed share of each head token; here and below one more entry, for tokens outside the head
     known: np.ndarray
     classes: np.ndarray
     within: np.ndarray  # log10 of its share of its class
@@ -293,43 +344,44 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     share = (share + 0.1) / (share + 0.1).sum()
     below = {k: n + 0.1 * (v + 1) for k, (n, v) in rest.items()}
 
-    model = trained(run_counts(learn, common, end), share, parts=max(6, spark.sparkContext.defaultParallelism))
+    parts = max(6, spark.sparkContext.defaultParallelism, -(-total // PART))
+    model = trained(run_counts(learn, common, end, parts), share)
     z = all_normalisers(spark, model)
     floor = total + 0.1 * (distinct + 1)
     counts = np.array([c for _, c in top], np.float64)
-    classes = np.array([i if i < COMMON else other(t) for i, (t, _) in enumerate(top)], np.int64)
-    within = np.array([0.0 if i < COMMON else np.log10((c + 0.1) / below[classes[i]]) for i, (_, c) in enumerate(top)])
-    shared = spark.sparkContext.broadcast(Shared({t: i for i, (t, _) in enumerate(top)}, np.log10((counts + 0.1) / floor), counts > 0, classes, within, model, z, end))
+    classes = np.array([*(i if i < COMMON else other(t) for i, (t, _) in enumerate(top)), -1], np.int64)
+    within = np.array([*(0.0 if i < COMMON else np.log10((c + 0.1) / below[classes[i]]) for i, (_, c) in enumerate(top)), 0.0])
+    base = np.append(np.log10((counts + 0.1) / floor), 0.0)
+    known = np.append((counts > 0).astype(np.int64), 0)
+    shared = spark.sparkContext.broadcast(Shared({t: i for i, (t, _) in enumerate(top)}, base, known, classes, within, model, z, end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         s = shared.value
-        head = Head(s.head)
-        before = [s.model.context * s.model.place[0], s.model.context * s.model.place[1]]
+        by_one, by_two = (x.ravel() for x in s.model.tables())
+        z = s.z.ravel()
         number = TaskContext.get().partitionId() << 40
-        for batch in text_rows(batches):
-            out = []
-            for text in batch.column("text").to_pylist():
-                tokens = tokens_of(text)
-                at = np.fromiter(map(head.__getitem__, tokens), np.int64, len(tokens))
-                known = at >= 0
-                ids = np.zeros(len(at), np.int64)
-                ids[known] = s.classes[at[known]]
-                tail: Counter = Counter()
-                for i in np.flatnonzero(~known):
-                    ids[i] = other(tokens[i])
-                    tail[tokens[i]] += 1
-                one, two = contexts(ids, s.end)
-                log_p = 0.0
-                for k in range(0, len(ids), 1 << 16):
-                    a, b, c = one[k : k + (1 << 16)], two[k : k + (1 << 16)], ids[k : k + (1 << 16)]
-                    log_p += float((np.einsum("ij,ij->i", before[0][a] + before[1][b], s.model.target[c]) + s.model.bias[c] - s.z[b, a]).sum(dtype=np.float64))
-                number += 1
-                out.append((number, len(tokens), int(s.known[at[known]].sum()), float(s.base[at[known]].sum()), log_p / np.log(10) + float(s.within[at[known]].sum()), [{"token": t, "tf": n} for t, n in tail.items()]))
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "model", "tail"])
+        for batch in text_rows(batches, TEXTS):
+            words, at, starts = tokenised(batch.column("text"))
+            place = np.array([s.head.get(t, -1) for t in words.to_pylist()])
+            rare = place < 0
+            ids = np.where(rare, others(words), s.classes[place]).astype(np.int32)[at]
+            one, two = contexts(ids, starts, s.end)
+            log_p = np.empty(len(at))
+            for k in range(0, len(at), 1 << 16):
+                a, b, c = (x[k : k + (1 << 16)].astype(np.int64) for x in (one, two, ids))
+                log_p[k : k + (1 << 16)] = by_one[a * CLASSES + c] + by_two[b * CLASSES + c] - z[b * CLASSES + a]
+            n_tokens = np.diff(starts, append=len(at))
+            known, base, within = (np.add.reduceat(of[place][at], starts) for of in (s.known, s.base, s.within))
+            left = np.flatnonzero(rare[at])
+            key, tf = np.unique((np.searchsorted(starts, left, "right") - 1) * len(words) + at[left], return_counts=True)
+            tokens = pa.StructArray.from_arrays([words.take(pa.array(key % len(words))), pa.array(tf)], ["token", "tf"])
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(starts) + 1) * len(words)), pa.int32()), tokens)
+            row = np.arange(len(starts)) + number
+            number += len(starts)
+            columns = (row, n_tokens, known, base, np.add.reduceat(log_p, starts) / np.log(10) + within)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns), tail], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "model", "tail"])
 
     schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, model double, tail array<struct<token:binary,tf:long>>"
     scored = written(rows.mapInArrow(run, schema), "scored")

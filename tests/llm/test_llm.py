@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -473,6 +475,52 @@ def test_most_frequent_tokens(spark, monkeypatch):
         assert r[:5] == whole[i][:5] and np.allclose([r["base_score"], r["score"]], [whole[i]["base_score"], whole[i]["score"]])
 
 
+def test_lm_batches_of_texts(spark, odd, monkeypatch):
+    """Batches split at once give each text's own tokens and runs, which meet in one shuffle; many normalisers come from one product."""
+    texts = [r["text"] or "" for r in odd.collect()] + [" a\x0bB \x1c c\xa0d\t", "ÄÖ e\u0301 ÄÖ\r\nZ", "one", "\x1c", "\x85 x"]
+    words, at, starts = lm_score.tokenised(pa.array(["cut off", *texts]).slice(1))
+    own = [lm_score.tokens_of(t) for t in texts]
+    assert words.take(pa.array(at)).to_pylist() == sum(own, []) and list(starts) == list(np.cumsum([0, *map(len, own)]))[:-1]
+    assert lm_score.others(words).tolist() == [lm_score.other(t) for t in words.to_pylist()]
+
+    common = [b"", b"text", b"a@b.co"]
+    want = Counter()
+    for tokens in own:
+        ids = [0, 0, *(common.index(t) if t in common else lm_score.other(t) for t in tokens)]
+        want.update((a * lm_score.CLASSES + b) * lm_score.CLASSES + c for a, b, c in zip(ids, ids[1:], ids[2:]))
+    runs = lm_score.run_counts(docs_of(spark, enumerate(texts)).repartition(2), common, 0, 7)
+    assert {r["code"]: r["n"] for r in runs.collect()} == want
+    assert runs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(code") == 1 and runs.rdd.getNumPartitions() == 7
+    assert {r["token"]: r["c"] for r in lm_score.token_counts(docs_of(spark, enumerate(texts))).collect()} == Counter(sum(own, []))
+
+    rng = np.random.default_rng(1)
+    for scale in (0.1, 20):  # the larger one leaves nothing of a plain product
+        model = lm_score.LogBilinear.of(rng.normal(0, scale, len(lm_score.LogBilinear.start(np.ones(lm_score.CLASSES)).flat())).astype(np.float32))
+        z = model.normalisers(np.array([0, 3, 1500]))
+        first, second = (x.astype(float) for x in model.tables())
+        for k, two in enumerate([0, 3, 1500]):
+            for one in (0, 5, 1535):
+                s = first[one] + second[two]
+                assert z[k, one] == pytest.approx(s.max() + np.log(np.exp(s - s.max()).sum()))
+    at, rows = rng.integers(0, 40, 500), rng.normal(size=(500, lm_score.DIM)).astype(np.float32)
+    assert np.allclose(lm_score.summed(at, rows)[:40], [rows[at == i].sum(0) for i in range(40)], atol=1e-4)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = lm_score.scores(docs).agg(F.sum("score")).first()[0]
+    monkeypatch.setattr(lm_score, "HELD", 5000)
+    monkeypatch.setattr(lm_score, "FLUSH", 3000)
+    monkeypatch.setattr(lm_score, "PART", 2000)
+    rows = lm_score.scores(docs).collect()
+    assert sum(r["score"] for r in rows) == pytest.approx(whole, rel=0.05)
+    held = {r["doc_id"]: lm_score.tokens_of(r["text"] or "") for r in docs.collect()}
+    counts = Counter(t for i, tokens in held.items() if zlib.crc32(str(i).encode()) % 10 for t in tokens)
+    total, floor = counts.total(), np.log10(counts.total() + 0.1 * (len(counts) + 1))
+    for r in rows:
+        tokens = held[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(t in counts for t in tokens), total)
+        assert r["base_score"] == pytest.approx(sum(np.log10(counts[t] + 0.1) - floor for t in tokens))
+
+
 def test_thresholds_come_from_all_labels(spark):
     """Labels that the bounded sample leaves out move the thresholds; rows that gradients came from don't."""
     model = toxicity.ToxicityModel()
