@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from genmeta.operators import graph, passes
+from genmeta.operators import editor, graph, passes
 from genmeta.plans import tables
 
 
@@ -50,6 +50,15 @@ def test_graphs_in_slices_leave_their_records_alone(spark, monkeypatch):
     assert sorted(f.rsplit("-", 1)[1] for f in folders(spark) - before) == ["graphs", "graphs"]
 
 
+def test_canvases_in_slices_leave_their_records_alone(spark, monkeypatch):
+    rows = [(i, json.dumps({"nodes": [{"id": 1, "type": "KSampler", "inputs": [], "widgets_values": [i, "fixed", 9, 7.5, "euler", "normal", 1]}], "links": []})) for i in range(4)]
+    monkeypatch.setattr(tables, "SLICE", sum(len(t) for _, t in rows) // 2 + 1)
+    before = folders(spark)
+    found = editor.records(spark.createDataFrame(rows, "file_id long, text string"))
+    assert {(r["file_id"], r["seed"], r["steps"]) for r in found.collect()} == {(i, i, 9) for i in range(4)}
+    assert sorted(f.rsplit("-", 1)[1] for f in folders(spark) - before) == ["canvases", "canvases"]
+
+
 def test_later_nodes_are_those_that_enlarge(spark):
     """Nodes 14 to 16 come after the pass, and only 14 holds a factor."""
     nodes = {
