@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import dispatch
+from ..plans.tables import Scratch
 from ..sources import images
 
 
@@ -17,7 +18,9 @@ def stream(spark: SparkSession, source: str, catalog: str, checkpoint: str, *, o
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = images.chunks(images.split_frames(batch)).withColumnRenamed("path", "file_id")
-        dispatch.image_info(rows).write.mode("overwrite").parquet(f"{catalog}/batch={batch_id}")
+        scratch = Scratch(rows.sparkSession)
+        dispatch.image_info(scratch.closed(rows, "chunks")).write.mode("overwrite").parquet(f"{catalog}/batch={batch_id}")
+        scratch.drop()
 
     out = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

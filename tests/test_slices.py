@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from genmeta.operators import editor, graph, passes
-from genmeta.plans import tables
+from genmeta.plans import dispatch, tables
 
 
 def folders(spark):
@@ -59,6 +59,16 @@ def test_canvases_in_slices_leave_their_records_alone(spark, monkeypatch):
     assert sorted(f.rsplit("-", 1)[1] for f in folders(spark) - before) == ["canvases", "canvases"]
 
 
+def test_information_in_slices_leaves_its_rows_alone(spark, monkeypatch):
+    text = lambda i: f"a fox {i}\nSteps: 2, Sampler: Euler, CFG scale: 3, Seed: {i}, Size: 64x64"
+    rows = [(i, 0, "parameters", text(i)) for i in range(4)]
+    monkeypatch.setattr(tables, "SLICE", sum(len(t) for *_, t in rows) // 2 + 1)
+    before = folders(spark)
+    found = dispatch.image_info(spark.createDataFrame(rows, "file_id long, ord int, chunk_key string, text string"))
+    assert {(r["file_id"], r["seed"], r["prompt"]) for r in found.collect()} == {(i, i, f"a fox {i}") for i in range(4)}
+    assert {f.rsplit("-", 1)[1] for f in folders(spark) - before} == {"info"}
+
+
 def test_later_nodes_are_those_that_enlarge(spark):
     """Nodes 14 to 16 come after the pass, and only 14 holds a factor."""
     nodes = {
